@@ -1,0 +1,47 @@
+"""Out-of-bag error of bagged trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.hashing import DEFAULT_SEED, poisson_one
+from .classify import forest
+from .evaluate import MISCLASS, MSE, error
+from .fitting import side_by_side
+
+
+def out_of_bag_error(
+    df: DataFrame, row_id: str, outcome: str, mtry: int | str, bags: int, depth: int,
+    regression: bool = False, seed: int = DEFAULT_SEED, threads: int = 8,
+) -> tuple[float, float]:
+    """(error, share of rows that were out of some bag).
+
+    A bag gives each row a Poisson(1) weight drawn from a hash, the large-sample
+    form of drawing rows with replacement, so a bag is a column and no row moves.
+    Each row is then scored by the trees that did not see it. All trees score in
+    one pass, without a shuffle.
+    """
+    weights = {b: poisson_one(row_id, f"bag{b}", seed) for b in range(bags)}
+
+    def grow(b: int):
+        bag = df.withColumn("_w", weights[b].cast("double")).where("_w > 0")
+        tree = forest(outcome, mtry, 1, depth, regression, seed + b, weightCol="_w", bootstrap=False)
+        return lambda: tree.fit(bag)
+
+    trees = side_by_side([grow(b) for b in range(bags)], threads)
+    scored = df
+    for b, tree in enumerate(trees):
+        own = tree.setPredictionCol(f"_p{b}")
+        if not regression:
+            own = own.setRawPredictionCol("").setProbabilityCol("")
+        scored = own.transform(scored)
+    votes = [F.when(weights[b] == 0, F.col(f"_p{b}")) for b in range(bags)]
+    count = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in votes), F.lit(0))
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in votes), F.lit(0.0))
+    voted = scored.select(outcome, F.try_divide(total, count).alias("_mean"))
+    # A 0/1 class wins with more than half of the votes; an even vote goes to 0.
+    guess = F.col("_mean") if regression else F.when(F.col("_mean").isNotNull(), (F.col("_mean") > 0.5).cast("double"))
+    row = voted.withColumn("_g", guess).agg(
+        error(outcome, "_g", MSE if regression else MISCLASS).alias("e"), (F.count("_g") / F.count(F.lit(1))).alias("s")
+    ).first()
+    return row["e"], row["s"]

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.grids import log_grid
 from ..functions.nulls import divide
 from ..functions.recode import stars
 from .distributions import student_two_sided
@@ -173,6 +174,18 @@ def fit_at(m: Moments, outcome: str, terms: Sequence[str], alpha: int, penalty:
     return penalised_paths([m], outcome, terms, alpha, [penalty])[0][0]
 
 
+def penalised_fits(
+    folds: Sequence[Moments], outcome: str, terms: Sequence[str], ridge: tuple, lasso: tuple
+) -> dict[str, LinearFit]:
+    """Ridge and lasso at both penalty choices; grids are (low, high, length)."""
+    whole, out = total(folds), {}
+    for name, alpha, grid in (("ridge", 0, ridge), ("lasso", 1, lasso)):
+        choice = choose_penalty(folds, outcome, terms, alpha, log_grid(*grid))
+        out[f"{name}_min"] = fit_at(whole, outcome, terms, alpha, choice.at_min)
+        out[f"{name}_1se"] = fit_at(whole, outcome, terms, alpha, choice.at_one_se)
+    return out
+
+
 def split_moments(
     df: DataFrame, outcome: str, terms: Sequence[str], train: str = "is_train", fold: str = "fold"
 ) -> tuple[list[Moments], Moments]:

@@ -69,23 +69,27 @@ def exact_split(
     return df.withColumn(name, _at_or_before(row_id, draw(row_id, "split", seed), cut))
 
 
-def assign_folds(
-    df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT_SEED, name: str = "fold", purpose: str = "fold"
-) -> DataFrame:
-    """Folds 0..k-1 whose sizes differ by one row at most."""
+def fold_column(df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT_SEED) -> Column:
+    """The fold 0..k-1 of each row of ``df`` as an expression; sizes differ by one
+    row at most."""
 
     def ends(n: int) -> list[int]:
         small, larger = divmod(n, folds)
         return [small * k + min(k, larger) for k in range(1, folds)]
 
-    hashed = draw(row_id, purpose, seed)
-    cuts = order_cuts(df, row_id, purpose, ends, seed)
+    hashed = draw(row_id, "fold", seed)
     out = None
-    for k, cut in enumerate(cuts):
+    for k, cut in enumerate(order_cuts(df, row_id, "fold", ends, seed)):
         test = _at_or_before(row_id, hashed, cut)
         out = F.when(test, k) if out is None else out.when(test, k)
     last = F.lit(folds - 1)
-    return df.withColumn(name, last if out is None else out.otherwise(last))
+    return last if out is None else out.otherwise(last)
+
+
+def assign_folds(
+    df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT_SEED, name: str = "fold"
+) -> DataFrame:
+    return df.withColumn(name, fold_column(df, row_id, folds, seed))
 
 
 def permute_labels(

@@ -75,14 +75,18 @@ def sql_draw(row_id: str, purpose: str, seed: int = 27182) -> str:
     return f"CAST('0x' || substr(md5('{seed}:' || {purpose} || ':' || CAST({row_id} AS VARCHAR)), 1, 12) AS BIGINT)"
 
 
-def query(name: str, sql: str | None = None, views: str = VIEWS):
-    """Register a query; ``sql`` continues the given views."""
+def query(name: str, sql: str | None = None, views: str = VIEWS, recursive: bool = False):
+    """Register a query; ``sql`` continues the given views, with ``+`` in front if it adds views of its own."""
 
     def add(function: Query) -> Query:
         QUERIES[name] = function
         if sql is not None:
-            separator = "," if views and sql.lstrip().startswith("+") else ""
-            ORACLES[name] = f"{views}{separator}{sql.lstrip().lstrip('+')}".strip()
+            rest, text = sql.lstrip(), views
+            if rest.startswith("+"):  # more views follow
+                rest, text = rest[1:], text.rstrip() + ","
+            if recursive:
+                text = text.replace("WITH", "WITH RECURSIVE", 1)
+            ORACLES[name] = f"{text}\n{rest}".strip()
         return function
 
     return add

@@ -10,7 +10,8 @@ from ..functions import nulls, recode as rc
 from ..functions.grids import grid_column, log_grid
 from ..functions.hashing import draw
 from ..operators import columns, evaluate, joins, order, reshape, rollup
-from ..session import new_path
+from ..operators.importance import p_values
+from ..session import new_path, stage
 from ..sources.csv import drop_index, read_csv, with_index, write_csv
 from ..sources.tables import read_table
 from . import codes, reports
@@ -545,17 +546,23 @@ p AS (SELECT o.region_code, (1 + count(CASE WHEN f.s >= o.s THEN 1 END)) / 100.0
 SELECT region_code, round(p_value, 6) AS p_value, CASE WHEN p_value <= 0.001 THEN '***' WHEN p_value <= 0.01 THEN '**'
   WHEN p_value <= 0.05 THEN '*' WHEN p_value <= 0.1 THEN '.' ELSE ' ' END AS signif FROM p""")
 def q_signif_stars(spark, folder):
-    """Does the mean balance of a region differ from 4,500? Sign-flip test."""
-    from ..operators.importance import p_values
+    out = sign_flip_test(spark, folder, "region_code")
+    return out.select("region_code", F.round("p_value", 6).alias("p_value"), rc.stars("p_value").alias("signif"))
+
 
-    table = entity(spark, folder).where("wealth is not null")
-    table = table.select("entity_id", "region_code", (cents("wealth") - 450000).alias("w"))
-    flips = table.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(98))))
+def sign_flip_test(spark, folder, key, flips=99):
+    """Does the mean balance of a group differ from 4,500? Sign-flip test.
+
+    The flips of a row are laid side by side within the task and combined before
+    the shuffle, which carries one row per group and flip from each task.
+    """
+    table = entity(spark, folder).where(F.col("wealth").isNotNull() & F.col(key).isNotNull())
+    table = stage(table.select("entity_id", key, (cents("wealth") - 450000).alias("w")), "balance")
+    flipped = table.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))))
     even = draw("entity_id", F.concat(F.lit("flip"), F.col("b").cast("string"))) % 2 == 0
-    null = flips.groupBy("region_code", "b").agg(F.abs(F.sum(F.when(even, F.col("w")).otherwise(-F.col("w")))).alias("s"))
-    observed = table.groupBy("region_code").agg(F.abs(F.sum("w")).alias("s"))
-    out = p_values(observed, null, "region_code", "s")
-    return out.select("region_code", F.round("p_value", 6).alias("p_value"), rc.stars("p_value").alias("signif"))
+    signed = F.when(even, F.col("w")).otherwise(-F.col("w"))
+    null = flipped.groupBy(key, "b").agg(F.abs(F.sum(signed)).alias("s"))
+    return p_values(table.groupBy(key).agg(F.abs(F.sum("w")).alias("s")), null, key, "s")
 
 
 @query("leaderboard_rank", """
