@@ -18,8 +18,9 @@ def correlation(a, b, where: Column | None = None) -> Column:
     if where is not None:
         usable = usable & where
     x, y = F.when(usable, a), F.when(usable, b)
-    scale = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / scale))
+    r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    # Rounding may leave the range by a digit. least and greatest skip NULLs, hence the ladder.
+    return F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
 
 
 def mean_squared_error(actual, predicted) -> Column:

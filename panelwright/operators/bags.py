@@ -28,7 +28,7 @@ def out_of_bag_error(
         tree = forest(outcome, mtry, 1, depth, regression, seed + b, weightCol="_w", bootstrap=False)
         return lambda: tree.fit(bag)
 
-    trees = side_by_side([grow(b) for b in range(bags)], threads)
+    trees = side_by_side(df.sparkSession, [grow(b) for b in range(bags)], threads)
     scored = df
     for b, tree in enumerate(trees):
         own = tree.setPredictionCol(f"_p{b}")

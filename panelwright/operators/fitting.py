@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import DEFAULT_SEED
 from ..session import stage
@@ -23,11 +23,11 @@ from .resample import exact_split, fold_column
 FEATURES = "features"
 
 
-def side_by_side(jobs: Sequence[Callable], threads: int = 8) -> list:
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], threads: int = 8) -> list:
     """Run independent Spark jobs concurrently; results in order."""
     if not jobs:
         return []
-    spark_jobs = [inheritable_thread_target(job) for job in jobs]
+    spark_jobs = [inheritable_thread_target(spark)(job) for job in jobs]
     with ThreadPool(min(threads, len(jobs))) as pool:
         return pool.map(lambda job: job(), spark_jobs, chunksize=1)
 
@@ -94,13 +94,16 @@ def cross_validate(
 
         return run
 
-    return side_by_side([job(c, k) for c in candidates for k in folds], threads)
+    return side_by_side(df.sparkSession, [job(c, k) for c in candidates for k in folds], threads)
 
 
 def fold_frame(df: DataFrame, results: Sequence[tuple], names: Sequence[str], types: str) -> DataFrame:
     """Cross-validation results as a table, one row per candidate and fold."""
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types.split())) + ", fold int, train_error double, test_error double"
-    rows = [(*params, fold, train, test) for params, fold, train, test in results]
+    cast = {"double": float, "int": int}
+    rows = [
+        (*[cast[t](v) for t, v in zip(types.split(), params)], fold, train, test) for params, fold, train, test in results
+    ]
     return df.sparkSession.createDataFrame(rows, schema)
 
 

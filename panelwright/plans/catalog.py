@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import stat_queries, table_queries  # noqa: F401
+from . import model_queries, stat_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
