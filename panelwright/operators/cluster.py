@@ -83,13 +83,14 @@ def _partial_sums(columns: Sequence[str], stacked: np.ndarray, owner: np.ndarray
 
 def cluster_grid(
     df: DataFrame, row_id: str, columns: Sequence[str], counts: Sequence[int], starts: int = 20,
-    iterations: int = 100, seed: int = DEFAULT_SEED,
+    iterations: int = 100, tolerance: float = 1e-6, seed: int = DEFAULT_SEED,
 ) -> dict[int, Clustering]:
     """The best of ``starts`` runs for every cluster count.
 
     Each round reads the table once for all runs together and returns one row
     per cluster and task, so 100 runs cost as many passes as the slowest of them
-    and not their sum. Runs that no longer move drop out.
+    and not their sum. A run drops out when a round lowers its sum of squares by
+    no more than the ``tolerance`` share (0: until no centre moves).
     """
     p = len(columns)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -115,11 +116,12 @@ def cluster_grid(
         still = []
         for i, run in enumerate(moving):
             mine = owner == i
-            run.within = float(w[mine].sum())
+            before, run.within = run.within, float(w[mine].sum())
             filled = n[mine] > 0
             new = run.centres.copy()
             new[filled] = sums[mine][filled] / n[mine][filled][:, None]
-            if not np.allclose(new, run.centres, rtol=1e-12, atol=0.0):
+            settled = np.allclose(new, run.centres, rtol=1e-12, atol=0.0)
+            if not settled and before - run.within > tolerance * run.within:
                 still.append(run)
             run.centres = new
         moving = still

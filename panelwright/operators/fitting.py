@@ -15,7 +15,7 @@ from pyspark.ml import Estimator, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import DEFAULT_SEED
+from ..functions.hashing import DEFAULT_SEED, draw
 from ..session import stage
 from .evaluate import MISCLASS, error
 from .resample import exact_split, fold_column
@@ -43,12 +43,15 @@ def prepare(
 ) -> DataFrame:
     """The modelling table: complete rows, an exact training split and folds of it.
 
-    It is staged once; every later fit reads only this table. Test rows have no
-    fold.
+    The rows are staged once, together with their draws; split and folds are
+    then comparisons of a stored number, so nothing is hashed or written again.
+    Test rows have no fold.
     """
-    table = exact_split(stage(df.select(row_id, *columns).dropna("any"), "model"), row_id, fraction, seed)
-    fold = fold_column(table.where("is_train"), row_id, folds, seed)
-    return stage(table.withColumn("fold", F.when(F.col("is_train"), fold)), "split")
+    draws = {"_split": draw(row_id, "split", seed), "_fold": draw(row_id, "fold", seed)}
+    table = stage(df.select(row_id, *columns).dropna("any").withColumns(draws), "model")
+    table = exact_split(table, row_id, fraction, seed, hashed=F.col("_split"))
+    fold = fold_column(table.where("is_train"), row_id, folds, seed, hashed=F.col("_fold"))
+    return table.withColumn("fold", F.when(F.col("is_train"), fold)).drop("_split", "_fold")
 
 
 def train_rows(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.grids import log_grid
 from ..functions.nulls import divide
@@ -225,7 +225,7 @@ def split_moments(
     return [cells[k] for k in sorted(k for k in cells if k >= 0)], cells[-1]
 
 
-def coefficient_frame(df: DataFrame, fits: dict[str, LinearFit]) -> DataFrame:
+def coefficient_frame(spark: SparkSession, fits: dict[str, LinearFit]) -> DataFrame:
     """Coefficients of several fits side by side; exact zeros become NULL."""
     names = ["(Intercept)", *dict.fromkeys(t for f in fits.values() for t in f.terms)]
     rows = []
@@ -237,12 +237,12 @@ def coefficient_frame(df: DataFrame, fits: dict[str, LinearFit]) -> DataFrame:
             row.append(None if value is None or value == 0 else float(value))
         rows.append(tuple(row))
     schema = "name string, " + ", ".join(f"`{k}` double" for k in fits)
-    return df.sparkSession.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema)
 
 
-def coefficient_table(rows: list[tuple], df: DataFrame) -> DataFrame:
+def coefficient_table(rows: list[tuple], spark: SparkSession) -> DataFrame:
     schema = "term string, estimate double, std_error double, statistic double, p_value double"
-    return df.sparkSession.createDataFrame(rows, schema).withColumn("signif", stars("p_value"))
+    return spark.createDataFrame(rows, schema).withColumn("signif", stars("p_value"))
 
 
 def explained(df: DataFrame, error: str, variance) -> DataFrame:

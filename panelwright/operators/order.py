@@ -22,9 +22,8 @@ def add_row_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFra
     """
     spark = df.sparkSession
     keys = [F.col(c).asc_nulls_first() for c in order]
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = stage(
-        df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_place", F.monotonically_increasing_id()),
         "rows",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import DEFAULT_SEED, HASH_BITS, draw
 from ..functions.nulls import as_column
 
+# Leading hash bits that form a bucket: at most 16,384 buckets.
 _BUCKET_BITS = 14
 
 
@@ -18,35 +19,40 @@ def _bucket(hashed: Column) -> Column:
 
 
 def order_cuts(
-    df: DataFrame, row_id: str, purpose: str, ranks: Callable[[int], Sequence[int]], seed: int
-) -> list[tuple | None]:
-    """The (hash, id) pairs that stand at the given ranks in hash order.
+    df: DataFrame, row_id: str, hashes: Mapping[str, Column], ranks: Callable[[int], Sequence[int]]
+) -> dict[str, list[tuple | None]]:
+    """The (hash, id) pairs that stand at the given ranks of each hash order.
 
     ``ranks`` gives the sought positions for a table of n rows. A histogram over
-    the leading hash bits, at most 16,384 rows, finds the bucket of each rank;
-    only the rows of those buckets are ranked. The result has one pair per rank,
-    so that membership becomes a comparison against constants, with no join and
-    no shuffle of the table. Ids must be unique.
+    the leading hash bits, at most 16,384 rows per order, finds the bucket of
+    each rank; only the rows of those buckets are ranked. The result has one
+    pair per rank, so that membership becomes a comparison against constants,
+    with no join and no shuffle of the table. Two passes serve all orders. Ids
+    must be unique.
     """
-    hashed = df.select(F.col(row_id).alias("i"), draw(row_id, purpose, seed).alias("h"))
-    histogram = (
-        hashed.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")
-    )
-    upto = histogram["n"].cumsum().to_numpy()
-    sought = list(ranks(int(upto[-1]) if len(upto) else 0))
-    place = {}
-    for rank in {r for r in sought if r > 0}:
-        k = int(upto.searchsorted(rank))
-        if k < len(upto):
-            before = int(upto[k]) - int(histogram["n"].iloc[k])
-            place[(int(histogram["b"].iloc[k]), rank - before)] = rank
-    if not place:
-        return [None] * len(sought)
-    inside = hashed.withColumn("b", _bucket(F.col("h"))).where(F.col("b").isin(sorted({b for b, _ in place})))
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", "i")))
-    chosen = reduce(lambda x, y: x | y, [(F.col("b") == b) & (F.col("r") == r) for b, r in place])
-    by_rank = {place[(row["b"], row["r"])]: (row["h"], row["i"]) for row in ranked.where(chosen).collect()}
-    return [by_rank.get(rank) for rank in sought]
+    cells = F.array(*[F.struct(F.lit(o).alias("o"), h.alias("h")) for o, h in hashes.items()])
+    hashed = df.select(F.col(row_id).alias("i"), F.inline(cells)).withColumn("b", _bucket(F.col("h")))
+    histogram = hashed.groupBy("o", "b").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["o", "b"])
+    wanted, sought = {}, {o: [] for o in hashes}
+    for o, part in histogram.groupby("o"):
+        upto, buckets, sizes = part["n"].cumsum().to_numpy(), part["b"].to_numpy(), part["n"].to_numpy()
+        sought[o] = list(ranks(int(upto[-1])))
+        for rank in {r for r in sought[o] if r > 0}:
+            k = int(upto.searchsorted(rank))
+            if k < len(upto):
+                wanted[(o, int(buckets[k]), int(rank - upto[k] + sizes[k]))] = rank
+    if not wanted:
+        return {o: [None] * len(r) for o, r in sought.items()}
+
+    def either(tests: Iterable[Column]) -> Column:
+        return reduce(lambda x, y: x | y, tests)
+
+    near = either((F.col("o") == o) & (F.col("b") == b) for o, b in sorted({(o, b) for o, b, _ in wanted}))
+    window = Window.partitionBy("o", "b").orderBy("h", "i")
+    ranked = hashed.where(near).withColumn("r", F.row_number().over(window))
+    chosen = either((F.col("o") == o) & (F.col("b") == b) & (F.col("r") == r) for o, b, r in wanted)
+    found = {(x["o"], wanted[(x["o"], x["b"], x["r"])]): (x["h"], x["i"]) for x in ranked.where(chosen).collect()}
+    return {o: [found.get((o, rank)) for rank in r] for o, r in sought.items()}
 
 
 def _at_or_before(row_id: str, hashed: Column, cut: tuple | None) -> Column:
@@ -56,20 +62,37 @@ def _at_or_before(row_id: str, hashed: Column, cut: tuple | None) -> Column:
     return (hashed < F.lit(h)) | ((hashed == F.lit(h)) & (as_column(row_id) <= F.lit(i)))
 
 
+def _ladder(row_id: str, hashed: Column, cuts: Sequence[tuple | None], values: Sequence) -> Column:
+    """``values[k]`` up to the k-th cut, the last value beyond all of them."""
+    out = None
+    for value, cut in zip(values, cuts):
+        test = _at_or_before(row_id, hashed, cut)
+        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
+    last = F.lit(values[-1])
+    return last if out is None else out.otherwise(last)
+
+
 def half_even(n: int, fraction: float) -> int:
     """Rows in an exact fraction, halves rounded to even."""
     return int(round(n * fraction))
 
 
 def exact_split(
-    df: DataFrame, row_id: str, fraction: float = 0.70, seed: int = DEFAULT_SEED, name: str = "is_train"
+    df: DataFrame, row_id: str, fraction: float = 0.70, seed: int = DEFAULT_SEED, name: str = "is_train",
+    hashed: Column | None = None,
 ) -> DataFrame:
-    """Mark an exact fraction of the rows as training rows."""
-    (cut,) = order_cuts(df, row_id, "split", lambda n: [half_even(n, fraction)], seed)
-    return df.withColumn(name, _at_or_before(row_id, draw(row_id, "split", seed), cut))
+    """Mark an exact fraction of the rows as training rows.
+
+    ``hashed`` is the stored draw of each row, if the table holds one.
+    """
+    hashed = draw(row_id, "split", seed) if hashed is None else hashed
+    (cut,) = order_cuts(df, row_id, {"split": hashed}, lambda n: [half_even(n, fraction)])["split"] or [None]
+    return df.withColumn(name, _at_or_before(row_id, hashed, cut))
 
 
-def fold_column(df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT_SEED) -> Column:
+def fold_column(
+    df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT_SEED, hashed: Column | None = None
+) -> Column:
     """The fold 0..k-1 of each row of ``df`` as an expression; sizes differ by one
     row at most."""
 
@@ -77,13 +100,8 @@ def fold_column(df: DataFrame, row_id: str, folds: int = 10, seed: int = DEFAULT
         small, larger = divmod(n, folds)
         return [small * k + min(k, larger) for k in range(1, folds)]
 
-    hashed = draw(row_id, "fold", seed)
-    out = None
-    for k, cut in enumerate(order_cuts(df, row_id, "fold", ends, seed)):
-        test = _at_or_before(row_id, hashed, cut)
-        out = F.when(test, k) if out is None else out.when(test, k)
-    last = F.lit(folds - 1)
-    return last if out is None else out.otherwise(last)
+    hashed = draw(row_id, "fold", seed) if hashed is None else hashed
+    return _ladder(row_id, hashed, order_cuts(df, row_id, {"fold": hashed}, ends)["fold"], range(folds))
 
 
 def assign_folds(
@@ -92,24 +110,21 @@ def assign_folds(
     return df.withColumn(name, fold_column(df, row_id, folds, seed))
 
 
-def permute_labels(
-    df: DataFrame, row_id: str, label: str, counts: Sequence[tuple], purpose: str,
-    seed: int = DEFAULT_SEED, name: str | None = None,
-) -> DataFrame:
-    """Permute a column of few values, given as (value, count) pairs.
+def permuted_labels(
+    df: DataFrame, row_id: str, label: str, draws: Sequence[str], seed: int = DEFAULT_SEED
+) -> dict[str, Column]:
+    """Permutations of a column of few values, one expression per draw.
 
     The rows in hash order take the values in turn, each as often as it occurs:
     a permutation of the column by comparisons against constants alone.
     """
-    ends = [sum(c for _, c in counts[: k + 1]) for k in range(len(counts) - 1)]
-    hashed = draw(row_id, purpose, seed)
-    cuts = order_cuts(df, row_id, purpose, lambda n: ends, seed)
-    out = None
-    for (value, _), cut in zip(counts, cuts):
-        test = _at_or_before(row_id, hashed, cut)
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-    last = F.lit(counts[-1][0])
-    return df.withColumn(name or label, last if out is None else out.otherwise(last))
+    groups = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()  # one row per value
+    values, ends = [r[label] for r in groups], []
+    for r in groups[:-1]:
+        ends.append(r["n"] + (ends[-1] if ends else 0))
+    hashes = {d: draw(row_id, d, seed) for d in draws}
+    cuts = order_cuts(df, row_id, hashes, lambda n: ends)
+    return {d: _ladder(row_id, hashes[d], cuts[d], values) for d in draws}
 
 
 def hash_rank(df: DataFrame, row_id: str, purpose, seed: int, name: str, group: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.stats import mismatch_rate
 from ..operators import cluster, correlation, evaluate, joins, linear, moments, resample
 from ..operators.fitting import prepare
 from ..session import stage
-from . import codes
+from . import codes, sql_linear
 from .fixture import PREDICTORS, features, model_data
 from .registry import MODEL_VIEWS, query, sql_draw
 from .table_queries import sign_flip_test
@@ -71,9 +71,8 @@ def q_permute_outcome(spark, folder):
 SELECT entity_id, CASE WHEN r <= zeros THEN 0 ELSE 1 END AS unanimous_flag FROM r""", views=MODEL_VIEWS)
 def q_permute_labels(spark, folder):
     table = _model(spark, folder, "unanimous_flag")
-    groups = table.groupBy("unanimous_flag").agg(F.count(F.lit(1)).alias("n")).orderBy("unanimous_flag").collect()
-    counts = [(r["unanimous_flag"], r["n"]) for r in groups]
-    return resample.permute_labels(table, "entity_id", "unanimous_flag", counts, "perm0")
+    moved = resample.permuted_labels(table, "entity_id", "unanimous_flag", ["perm0"])
+    return table.withColumn("unanimous_flag", moved["perm0"])
 
 
 # Correlation -----------------------------------------------------------------
@@ -140,10 +139,13 @@ def q_corr_matrix(spark, folder):
     return _rounded(correlation.correlation_matrix(stage(features(spark, folder).select(*MATRIX_COLUMNS)), MATRIX_COLUMNS))
 
 
-@query("vif")
+VIF_TERMS = ["action_flag", *[c for c in PREDICTORS if c != "total_measure"]]
+
+
+@query("vif", f"+{sql_linear.inflation(VIF_TERMS, 'model_data')} SELECT term, round(vif, 6) AS vif FROM vif", views=MODEL_VIEWS,
+       recursive=True)
 def q_vif(spark, folder):
-    terms = ["action_flag", *[c for c in PREDICTORS if c != "total_measure"]]
-    return correlation.variance_inflation(stage(model_data(spark, folder).select(*terms)), terms)
+    return _rounded(correlation.variance_inflation(stage(model_data(spark, folder).select(*VIF_TERMS)), VIF_TERMS), "vif")
 
 
 @query("vif_pair", """
@@ -218,27 +220,59 @@ def q_ols_pair(spark, folder):
     table = _scaled(_prepared(spark, folder, "total_measure", "n_lines", "avg_qty"))
     folds, _ = linear.split_moments(table, "measure_m", ["lines", "qty"])
     rows = linear.ols_table(moments.total(folds), "measure_m", ["lines", "qty"])
-    out = linear.coefficient_table(rows, table)
+    out = linear.coefficient_table(rows, spark)
     return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"))
 
 
-REGRESSION_TERMS = ["action_flag", *[c for c in PREDICTORS if c != "total_measure"]]
+# The regression outcome in millions, and its predictors with either flag.
+REGRESSION_TERMS = VIF_TERMS
+OUTCOME = "measure_m"
+
+
+def _regression(spark, folder):
+    """Moments of the training folds and of the hold-out rows."""
+    table = _scaled(_prepared(spark, folder, "total_measure", *REGRESSION_TERMS))
+    return linear.split_moments(table, OUTCOME, REGRESSION_TERMS)
+
 
+LEAST_SQUARES = "+" + ",\n".join([
+    sql_linear.scaled_rows("split", "total_measure / 1e6", VIF_TERMS, ["is_train"]),
+    sql_linear.least_squares(len(VIF_TERMS), "is_train"),
+])
 
-@query("ols_holdout")
+
+@query("ols_holdout", LEAST_SQUARES + f""",
+e AS (SELECT avg(pow(y - ({sql_linear.score(len(VIF_TERMS))}), 2)) AS e FROM z, fit WHERE NOT is_train),
+v AS (SELECT var_samp(y) AS v FROM x WHERE NOT is_train)
+SELECT 'ols_model' AS method, round(e, 5) AS test_error, round(1 - e / v, 6) AS prop_var_explained,
+       round(e / v, 6) AS prop_var_unexplained FROM e, v""", views=SPLIT_VIEWS, recursive=True)
 def q_ols_holdout(spark, folder):
-    table = _prepared(spark, folder, "total_measure", *REGRESSION_TERMS)
-    folds, test = linear.split_moments(table, "total_measure", REGRESSION_TERMS)
-    fit = linear.ols(moments.total(folds), "total_measure", REGRESSION_TERMS)
-    row = spark.createDataFrame([("ols_model", fit.mse(test, "total_measure"))], "method string, test_error double")
-    return linear.explained(row, "test_error", float(test.cross[0, 0] / (test.n - 1)))
+    folds, test = _regression(spark, folder)
+    fit = linear.ols(moments.total(folds), OUTCOME, REGRESSION_TERMS)
+    row = spark.createDataFrame([("ols_model", fit.mse(test, OUTCOME))], "method string, test_error double")
+    return _rounded_errors(linear.explained(row, "test_error", float(test.cross[0, 0] / (test.n - 1))))
+
+
+def _rounded_errors(df):
+    digits = {"test_error": 5, "prop_var_explained": 6, "prop_var_unexplained": 6}
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+@query("ols_coef", LEAST_SQUARES + f""",
+{sql_linear.coefficients(VIF_TERMS, 'is_train')}
+SELECT term, round(b, 5) AS estimate, round(se, 5) AS std_error, round(b / se, 5) AS statistic FROM coef""",
+       views=SPLIT_VIEWS, recursive=True)
+def q_ols_coef(spark, folder):
+    out = q_ols_coef_table(spark, folder)
+    return out.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "std_error", "statistic")])
 
 
 @query("ols_coef_table")
 def q_ols_coef_table(spark, folder):
-    table = _prepared(spark, folder, "total_measure", *REGRESSION_TERMS)
-    folds, _ = linear.split_moments(table, "total_measure", REGRESSION_TERMS)
-    return linear.coefficient_table(linear.ols_table(moments.total(folds), "total_measure", REGRESSION_TERMS), table)
+    """With p-values, for which SQL has no distribution function."""
+    folds, _ = _regression(spark, folder)
+    rows = linear.ols_table(moments.total(folds), OUTCOME, REGRESSION_TERMS)
+    return linear.coefficient_table(rows, spark)
 
 
 def _choice_frame(spark, choice):
@@ -290,30 +324,39 @@ def q_lasso_one(spark, folder):
 
 
 def _path(spark, folder, alpha, grid):
-    table = _prepared(spark, folder, "total_measure", *REGRESSION_TERMS)
-    folds, _ = linear.split_moments(table, "total_measure", REGRESSION_TERMS)
-    return _choice_frame(spark, linear.choose_penalty(folds, "total_measure", REGRESSION_TERMS, alpha, log_grid(*grid)))
+    folds, _ = _regression(spark, folder)
+    return _choice_frame(spark, linear.choose_penalty(folds, OUTCOME, REGRESSION_TERMS, alpha, log_grid(*grid)))
 
 
-@query("ridge_cv")
+@query("ridge_cv", "+" + sql_linear.scaled_rows("train", "total_measure / 1e6", VIF_TERMS, ["fold"]) + ","
+       + sql_linear.ridge_folds(len(VIF_TERMS), *codes.RIDGE_GRID) + """,
+best AS (SELECT min(cv) AS low, arg_min(cv + se, cv) AS line FROM q)
+SELECT q.i AS grid_index, round(-2 + 12 * q.i / 199.0, 6) AS log_penalty, round(cv, 4) AS cv_error, round(se, 4) AS cv_se,
+       q.i = (SELECT max(i) FROM q, best WHERE cv <= low) AS is_min,
+       q.i = (SELECT max(i) FROM q, best WHERE cv <= line) AS is_one_se
+FROM q""", views=SPLIT_VIEWS, recursive=True)
 def q_ridge_cv(spark, folder):
-    return _path(spark, folder, 0, codes.RIDGE_GRID)
+    out = _path(spark, folder, 0, codes.RIDGE_GRID)
+    return out.withColumns({
+        "log_penalty": F.round("log_penalty", 6), "cv_error": F.round("cv_error", 4), "cv_se": F.round("cv_se", 4)
+    })
 
 
 @query("lasso_cv")
 def q_lasso_cv(spark, folder):
-    return _path(spark, folder, 1, codes.LASSO_CLASS_GRID)
+    return _path(spark, folder, 1, codes.LASSO_GRID)
+
+
+def _penalised(spark, folder):
+    folds, test = _regression(spark, folder)
+    return linear.penalised_fits(folds, OUTCOME, REGRESSION_TERMS, codes.RIDGE_GRID, codes.LASSO_GRID), test
 
 
 @query("penalised_holdout")
 def q_penalised_holdout(spark, folder):
     """Both penalties at both choices, errors from the hold-out moments."""
-    table = _prepared(spark, folder, "total_measure", *REGRESSION_TERMS)
-    folds, test = linear.split_moments(table, "total_measure", REGRESSION_TERMS)
-    rows = [
-        (name, fit.mse(test, "total_measure"))
-        for name, fit in linear.penalised_fits(folds, "total_measure", REGRESSION_TERMS, codes.RIDGE_GRID, codes.LASSO_CLASS_GRID).items()
-    ]
+    fits, test = _penalised(spark, folder)
+    rows = [(name, fit.mse(test, OUTCOME)) for name, fit in fits.items()]
     out = spark.createDataFrame(rows, "method string, test_error double")
     return linear.explained(out, "test_error", float(test.cross[0, 0] / (test.n - 1)))
 
@@ -321,10 +364,8 @@ def q_penalised_holdout(spark, folder):
 @query("penalised_coef")
 def q_penalised_coef(spark, folder):
     """Coefficients of the four penalised fits side by side."""
-    table = _prepared(spark, folder, "total_measure", *REGRESSION_TERMS)
-    folds, _ = linear.split_moments(table, "total_measure", REGRESSION_TERMS)
-    fits = linear.penalised_fits(folds, "total_measure", REGRESSION_TERMS, codes.RIDGE_GRID, codes.LASSO_CLASS_GRID)
-    return linear.coefficient_frame(table, fits)
+    fits, _ = _penalised(spark, folder)
+    return linear.coefficient_frame(spark, fits)
 
 
 GIVEN = linear.LinearFit(("lines", "qty"), -20.0, np.array([5.5, 1.25]))

@@ -13,7 +13,7 @@ from ..functions.hashing import DEFAULT_SEED
 from ..operators import linear
 from ..operators.bags import out_of_bag_error
 from ..operators.classify import (
-    boosting, forest, fourier_map, linear_svm, logistic, polynomial_map, standardised,
+    boosting, elastic_logistic, forest, fourier_map, linear_svm, logistic, polynomial_map, standardised,
 )
 from ..operators.evaluate import MISCLASS, MSE, leaderboard
 from ..operators.fitting import (
@@ -147,23 +147,29 @@ def svm_candidates(s: Study, costs: Sequence[float], features: str = FEATURES, s
 
 
 def elastic_candidates(s: Study, mixing: float) -> list[Candidate]:
-    return [Candidate((p,), lambda n, p=p: logistic(s.outcome, p, mixing)) for p in s.settings.penalties]
+    return [Candidate((p,), lambda n, p=p: elastic_logistic(s.outcome, p, mixing)) for p in s.settings.penalties]
 
 
 # Kernel machines: one feature map per kernel parameter, then linear machines.
 
 def _kernel(s: Study, parameters: Sequence, costs: Sequence[float], mapped: Callable) -> tuple[list[tuple], tuple, float]:
+    """Mapped columns are wide, so one kernel parameter is kept in memory at a time."""
     scaled = standardised(s.table, s.train)
-    results, tables = [], {}
+
+    def table(p) -> DataFrame:
+        return mapped(scaled, p).select("is_train", "fold", s.outcome, "mapped").persist()
+
+    results = []
     for p in parameters:
-        tables[p] = mapped(scaled, p).select("is_train", "fold", s.outcome, "mapped").persist()
-        found = s.tune(svm_candidates(s, costs, "mapped", False), on=tables[p])
+        wide = table(p)
+        found = s.tune(svm_candidates(s, costs, "mapped", False), on=wide)
         results += [((p, *params), fold, a, b) for params, fold, a, b in found]
+        wide.unpersist()
     best = best_candidate(results)
     (winner,) = svm_candidates(s, [best[1]], "mapped", False)
-    e = s.refit(winner, on=tables[best[0]])
-    for t in tables.values():
-        t.unpersist()
+    wide = table(best[0])
+    e = s.refit(winner, on=wide)
+    wide.unpersist()
     return results, best, e
 
 
@@ -230,10 +236,15 @@ def forest_errors(s: Study, regression: bool = False) -> DataFrame:
     g = s.settings
     metric = MSE if regression else MISCLASS
     found = s.tune(forest_candidates(s, regression), metric)
+    tried = sorted({params[0] for params, *_ in found})
+
+    def bags(m: int):
+        return lambda: out_of_bag_error(s.train, s.row_id, s.outcome, m, g.trees, g.depth, regression, g.seed, g.threads)
+
+    outside = side_by_side(s.table.sparkSession, [bags(m) for m in tried], 2)
     rows = []
-    for m in sorted({params[0] for params, *_ in found}):
+    for m, (oob, _) in zip(tried, outside):
         mine = [(a, b) for params, _, a, b in found if params == (m,)]
-        oob, _ = out_of_bag_error(s.train, s.row_id, s.outcome, m, g.trees, g.depth, regression, g.seed, g.threads)
         rows.append((m, sum(b for _, b in mine) / len(mine), float(oob), sum(a for a, _ in mine) / len(mine)))
     table = s.table.sparkSession.createDataFrame(rows, "mtry int, test_error double, oob_error double, train_error double")
     return table.orderBy("test_error", "mtry")

@@ -134,10 +134,9 @@ def test_inflation_and_matrix(table):
     assert all(v.vif is None for v in correlation.variance_inflation(flat, ["a", "e"]).collect())
 
 
-def test_coefficients_side_by_side(table):
-    df = table[0]
+def test_coefficients_side_by_side(spark):
     fits = {"one": linear.LinearFit(("a", "b"), 1.0, np.array([0.0, 2.0])), "two": linear.LinearFit(("b", "c"), 0.0, np.array([1.0, 3.0]))}
-    got = {r["name"]: (r.one, r.two) for r in linear.coefficient_frame(df, fits).collect()}
+    got = {r["name"]: (r.one, r.two) for r in linear.coefficient_frame(spark, fits).collect()}
     assert got == {"(Intercept)": (1.0, None), "a": (None, None), "b": (2.0, 1.0), "c": (None, 3.0)}
 
 

@@ -48,9 +48,10 @@ def test_permutations_keep_the_values(spark):
 
 def test_label_permutation(spark):
     df = ids(spark, 300, 4)
-    counts = [(r["y"], r["count"]) for r in df.groupBy("y").count().orderBy("y").collect()]
-    out = resample.permute_labels(df, "k", "y", counts, "p")
+    out = df.withColumn("y", resample.permuted_labels(df, "k", "y", ["p", "q"])["p"])
     assert sorted(r.y for r in out.collect()) == sorted(r.y for r in df.collect())
+    ranked = sorted(range(0, 900, 3), key=lambda k: (drawn(k, "p"), k))
+    assert {r.k: r.y for r in out.collect()} == dict(zip(ranked, sorted(k % 5 for k in ranked)))
     assert out.where(F.col("y") != F.col("k") % 5).count() > 100
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
