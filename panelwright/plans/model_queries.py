@@ -12,9 +12,10 @@ from ..operators.classify import forest, importances, logistic
 from ..operators.evaluate import MISCLASS, MSE, accuracy_row
 from ..operators.fitting import Candidate, assemble, fold_frame
 from ..session import stage
-from . import studies
+from . import sql_linear, studies
 from .fixture import PREDICTORS, model_data
 from .registry import query
+from .stat_queries import SPLIT_VIEWS
 from .studies import QUICK, Study
 
 OUTCOMES = ["action_flag", "unanimous_flag"]
@@ -38,11 +39,27 @@ def q_design_matrix(spark, folder):
     return out.select("entity_id", "y", vector_to_array("x").alias("x"))
 
 
-@query("logit_holdout")
+@query("logit_holdout", "+" + ",\n".join([
+    sql_linear.scaled_rows("split", "action_flag", PREDICTORS, ["is_train"]), sql_linear.logistic(len(PREDICTORS), "is_train"),
+]) + f""" SELECT 'logistic_model' AS method,
+round(avg(CASE WHEN (CASE WHEN {sql_linear.linear_part(len(PREDICTORS))} > 0 THEN 1 ELSE 0 END) <> y THEN 1.0 ELSE 0.0 END), 9) AS test_misclass
+FROM z, logit WHERE NOT is_train""", views=SPLIT_VIEWS, recursive=True)
 def q_logit_holdout(spark, folder):
     with _classes(spark, folder) as s:
         e = s.refit(Candidate((), lambda n: logistic(s.outcome)))
-        return spark.createDataFrame([("logistic_model", float(e))], "method string, test_misclass double")
+    return spark.createDataFrame([("logistic_model", round(float(e), 9))], "method string, test_misclass double")
+
+
+@query("logit_scores", "+" + ",\n".join([
+    sql_linear.scaled_rows("split", "unanimous_flag", PREDICTORS, ["is_train", "entity_id"]),
+    sql_linear.logistic(len(PREDICTORS), "is_train"),
+]) + f""" SELECT entity_id, round(1 / (1 + exp(-({sql_linear.linear_part(len(PREDICTORS))}))), 5) AS probability
+FROM z, logit WHERE NOT is_train""", views=SPLIT_VIEWS, recursive=True)
+def q_logit_scores(spark, folder):
+    """A fitted model applied to the hold-out rows."""
+    s = _classes(spark, folder, "unanimous_flag")
+    model = logistic(s.outcome).fit(s.train)
+    return model.transform(s.test).select("entity_id", F.round("probability", 5).alias("probability"))
 
 
 @query("logit_elastic_cv")

@@ -117,3 +117,33 @@ e AS (SELECT fit.i, fit.fold, count(*) AS n, avg(pow(y - my - sy * ({b}), 2)) AS
 cv AS (SELECT i, sum(n * e) / sum(n) AS cv FROM e GROUP BY i),
 q AS (SELECT cv.i, cv, sqrt(sum(n * (e - cv) * (e - cv)) / sum(n) / (count(*) - 1)) AS se
       FROM cv JOIN e ON e.i = cv.i GROUP BY cv.i, cv)"""
+
+
+def logistic(terms: int, train: str, rounds: int = 10) -> str:
+    """From ``x``: scaled rows ``z`` and, after reweighted least squares, ``logit(m)`` with the solution last."""
+    size = terms + 1
+    scales = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(terms))
+    z = ", ".join(f"(x{i} - a{i}) / s{i} AS z{i}" for i in range(terms))
+    names = ["1.0::DOUBLE", *[f"z{i}" for i in range(terms)]]
+    views = [
+        f"sc AS (SELECT {scales} FROM x WHERE {train})",
+        f"z AS (SELECT x.*, {z} FROM x, sc)",
+        f"e0 AS (SELECT *, 0.0::DOUBLE AS eta FROM z WHERE {train})",
+    ]
+    lines = _list([
+        _list([f"sum(w * {names[i]} * {names[j]})" for j in range(size)] + [f"sum(w * {names[i]} * (eta + (y - mu) / w))"])
+        for i in range(size)
+    ])
+    for r in range(1, rounds + 1):
+        views.append(f"w{r} AS (SELECT *, 1 / (1 + exp(-eta)) AS mu, 1 / (1 + exp(-eta)) * (1 - 1 / (1 + exp(-eta))) AS w FROM e{r - 1})")
+        views.append(f"n{r} AS (SELECT {lines} AS m FROM w{r})")
+        last = "logit" if r == rounds else f"f{r}"
+        views.append(eliminate(f"n{r}", [], size, last))
+        if r < rounds:
+            views.append(f"e{r} AS (SELECT z.*, {linear_part(terms, f'f{r}')} AS eta FROM z, f{r} WHERE {train})")
+    return ",\n".join(views)
+
+
+def linear_part(terms: int, fit: str = "logit") -> str:
+    """The linear predictor of a row of ``z`` beside the view ``fit``."""
+    return " + ".join([f"{fit}.m[1][{terms + 2}]", *[f"{fit}.m[{i + 2}][{terms + 2}] * z{i}" for i in range(terms)]])
