@@ -64,11 +64,11 @@ def _partial_sums(columns: Sequence[str], stacked: np.ndarray, owner: np.ndarray
         within = np.zeros(len(stacked))
         for batch in batches:
             x = batch[list(columns)].to_numpy(dtype=float) - centre
-            size = (x**2).sum(axis=1)
-            distance = size[:, None] - 2.0 * x @ stacked.T + norms
+            # |x - c|² less |x|², which does not matter for the nearest centre.
+            distance = norms - 2.0 * x @ stacked.T
             for block in blocks:
                 near = distance[:, block].argmin(axis=1)
-                least = np.maximum(distance[np.arange(len(x)), block[near]], 0.0)
+                least = ((x - stacked[block[near]]) ** 2).sum(axis=1)
                 count[block] += np.bincount(near, minlength=len(block))
                 within[block] += np.bincount(near, weights=least, minlength=len(block))
                 for j in range(x.shape[1]):
