@@ -93,7 +93,7 @@ def cluster_grid(
     no more than the ``tolerance`` share (0: until no centre moves).
     """
     p = len(columns)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
     means = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = np.array([means[c] for c in columns])
     pool = starting_rows(df, row_id, columns, starts * max(counts), seed) - centre
@@ -127,6 +127,7 @@ def cluster_grid(
         moving = still
         if not moving:
             break
+    data.unpersist()
     best = {}
     for k in counts:
         found = min((r for r in runs if r.k == k), key=lambda r: r.within)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.recode import recode
 from ..functions.stats import correlation
 from .columns import is_complete
 from .moments import Moments, moments
@@ -14,6 +15,9 @@ from .order import rank_small
 
 PAIRWISE, LISTWISE = "pairwise", "listwise"
 
+# Correlations per aggregation group: ten buffers each, and generated code ends at 100 fields.
+_BLOCK = 8
+
 
 def correlate(
     df: DataFrame,
@@ -24,43 +28,44 @@ def correlate(
 ) -> DataFrame:
     """Correlation of every term with every target, per population and mode.
 
-    One scan answers the whole grid. The terms are unpivoted inside the task, so
-    the aggregation has one group per term and a handful of conditional
-    correlations each, whatever the number of terms; partial results of one row
-    per term and task are all that is shuffled. Listwise deletion, as in a
-    complete-case table, is over the terms and the one target.
+    One scan answers the whole grid. Terms and blocks of up to eight cells (a
+    target with some populations and modes) are laid out as rows within the
+    task, so the aggregation has one group per term and block and few enough
+    aggregates to stay in generated code; partial results of one row per group
+    and task are all that is shuffled. Listwise deletion, as in a complete-case
+    table, is over the terms and the one target.
 
     Result: ``population, target, na_mode, term, r``.
     """
     populations = dict(populations or {"all": F.lit(True)})
-    marked = df.withColumns({f"_p{i}": cond for i, cond in enumerate(populations.values())})
-    marked = marked.withColumn("_complete", is_complete(terms))
-    kept = [*dict.fromkeys(targets), "_complete", *[f"_p{i}" for i in range(len(populations))]]
-    # A target may be a term as well: keep its values under another name.
-    held = marked.select(
-        *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(targets)],
-        *kept[len(dict.fromkeys(targets)):],
-        *[F.col(c).cast("double").alias(c) for c in terms],
+    masks = {}
+    for population, condition in populations.items():
+        for mode in modes:
+            masks[population, mode] = condition & is_complete(terms) if mode == LISTWISE else condition
+    cells = list(masks)
+    blocks, names = [], {}
+    for target in targets:
+        for at in range(0, len(cells), _BLOCK):
+            chosen = cells[at : at + _BLOCK]
+            for slot, (population, mode) in enumerate(chosen):
+                names[len(blocks) * _BLOCK + slot] = (population, target, mode)
+            marks = [masks[c] for c in chosen] + [F.lit(False)] * (_BLOCK - len(chosen))
+            blocks.append(F.struct(
+                F.lit(len(blocks)).alias("_block"), F.col(target).cast("double").alias("_y"),
+                *[m.alias(f"_m{i}") for i, m in enumerate(marks)],
+            ))
+    values = [F.col(c).cast("double").alias(c) for c in terms]
+    rows = df.select(F.array(*blocks).alias("_blocks"), *values).select(F.inline("_blocks"), *terms)
+    long = rows.unpivot(["_block", "_y", *[f"_m{i}" for i in range(_BLOCK)]], list(terms), "term", "x")
+    width = min(_BLOCK, len(cells))
+    wide = long.groupBy("term", "_block").agg(
+        *[correlation("x", "_y", F.col(f"_m{i}")).alias(f"r{i}") for i in range(width)]
     )
-    ids = [c for c in held.columns if c not in set(terms)]
-    long = held.unpivot(ids, list(terms), "term", "x")
-    cells, names = [], []
-    for i, population in enumerate(populations):
-        for j, target in enumerate(targets):
-            for mode in modes:
-                where = F.col(f"_p{i}")
-                if mode == LISTWISE:
-                    where = where & F.col("_complete")
-                alias = f"r{len(names)}"
-                cells.append(correlation("x", f"_t{j}", where).alias(alias))
-                names.append((alias, population, target, mode))
-    wide = long.groupBy("term").agg(*cells)
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("population"), F.lit(t).alias("target"), F.lit(m).alias("na_mode"), F.col(a).alias("r"))
-        for a, p, t, m in names
-    ])
-    out = wide.select("term", F.inline(rows))
-    return out.where(F.col("term") != F.col("target")).select("population", "target", "na_mode", "term", "r")
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"r{i}").alias("r")) for i in range(width)])
+    out = wide.select("term", "_block", F.inline(slots)).withColumn("_cell", F.col("_block") * _BLOCK + F.col("slot"))
+    label = lambda part: recode("_cell", {cell: name[part] for cell, name in names.items()})
+    out = out.select(label(0).alias("population"), label(1).alias("target"), label(2).alias("na_mode"), "term", "r")
+    return out.where(F.col("target").isNotNull() & (F.col("term") != F.col("target")))
 
 
 def focus(df: DataFrame, target: str, terms: Sequence[str], listwise: bool = False) -> DataFrame:
