@@ -11,10 +11,11 @@ from ..operators.bags import out_of_bag_error
 from ..operators.classify import forest, importances, logistic
 from ..operators.evaluate import MISCLASS, MSE, accuracy_row
 from ..operators.fitting import Candidate, assemble, fold_frame
+from ..operators.reshape import unnest_parallel
 from ..session import stage
 from . import sql_linear, studies
 from .fixture import PREDICTORS, model_data
-from .registry import query
+from .registry import MODEL_VIEWS, query
 from .stat_queries import SPLIT_VIEWS
 from .studies import QUICK, Study
 
@@ -30,13 +31,17 @@ def _values(spark, folder, flag="action_flag", settings=QUICK, others=()):
     return Study.of(model_data(spark, folder), "entity_id", "total_measure", [flag, *REGRESSION_TERMS], settings, others)
 
 
-@query("design_matrix")
+@query("design_matrix", " UNION ALL ".join(
+    f"SELECT entity_id, CAST(action_flag AS DOUBLE) AS y, '{c}' AS term, CAST({c} AS DOUBLE) AS value FROM model_data"
+    for c in PREDICTORS), views=MODEL_VIEWS)
 def q_design_matrix(spark, folder):
-    """The model formula as a design matrix with the 0/1 outcome."""
+    """The model formula as a design matrix with the 0/1 outcome, laid out long."""
     formula = RFormula(formula="action_flag ~ " + " + ".join(PREDICTORS), featuresCol="x", labelCol="y")
     table = stage(model_data(spark, folder).select("entity_id", "action_flag", *PREDICTORS), "model")
-    out = formula.fit(table).transform(table)
-    return out.select("entity_id", "y", vector_to_array("x").alias("x"))
+    design = formula.fit(table).transform(table).select(
+        "entity_id", "y", F.array(*[F.lit(c) for c in PREDICTORS]).alias("term"), vector_to_array("x").alias("value")
+    )
+    return unnest_parallel(design, ["entity_id", "y"], ["term", "value"])
 
 
 @query("logit_holdout", "+" + ",\n".join([

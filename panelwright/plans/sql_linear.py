@@ -85,6 +85,15 @@ def coefficients(names: Sequence[str], train: str) -> str:
     return "coef AS (" + " UNION ALL ".join(rows) + ")"
 
 
+def student_two_sided(t: str, freedom: str, steps: int = 4000) -> str:
+    """P(|T| >= |t|) by Simpson's rule on the density of Student's distribution."""
+    density = f"pow(1 + pow(abs({t}) * i / {steps}, 2) / {freedom}, -({freedom} + 1) / 2.0)"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range({steps + 1}), lambda i: {weight} * {density})) * abs({t}) / {3 * steps}"
+    scale = f"exp(lgamma(({freedom} + 1) / 2.0) - lgamma({freedom} / 2.0)) / sqrt({freedom} * pi())"
+    return f"(1 - 2 * {scale} * {area})"
+
+
 def inflation(names: Sequence[str], source: str) -> str:
     """``vif(term, vif)``: diagonal of the inverse correlation matrix."""
     p = len(names)

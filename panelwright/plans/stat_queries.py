@@ -258,21 +258,19 @@ def _rounded_errors(df):
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query("ols_coef", LEAST_SQUARES + f""",
-{sql_linear.coefficients(VIF_TERMS, 'is_train')}
-SELECT term, round(b, 5) AS estimate, round(se, 5) AS std_error, round(b / se, 5) AS statistic FROM coef""",
-       views=SPLIT_VIEWS, recursive=True)
-def q_ols_coef(spark, folder):
-    out = q_ols_coef_table(spark, folder)
-    return out.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "std_error", "statistic")])
-
-
-@query("ols_coef_table")
+@query("ols_coef_table", LEAST_SQUARES + f""",
+{sql_linear.coefficients(VIF_TERMS, 'is_train')},
+df AS (SELECT count(*) - {len(VIF_TERMS) + 1} AS df FROM train),
+p AS (SELECT term, b, se, b / se AS t, {sql_linear.student_two_sided('(b / se)', 'df')} AS p FROM coef, df)
+SELECT term, round(b, 5) AS estimate, round(se, 5) AS std_error, round(t, 5) AS statistic, abs(round(p, 6)) AS p_value,
+       CASE WHEN p <= 0.001 THEN '***' WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*' WHEN p <= 0.1 THEN '.' ELSE ' ' END AS signif
+FROM p""", views=SPLIT_VIEWS, recursive=True)
 def q_ols_coef_table(spark, folder):
-    """With p-values, for which SQL has no distribution function."""
     folds, _ = _regression(spark, folder)
     rows = linear.ols_table(moments.total(folds), OUTCOME, REGRESSION_TERMS)
-    return linear.coefficient_table(rows, spark)
+    out = linear.coefficient_table(rows, spark)
+    digits = {"estimate": 5, "std_error": 5, "statistic": 5, "p_value": 6}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 def _choice_frame(spark, choice):
