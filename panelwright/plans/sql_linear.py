@@ -156,3 +156,23 @@ def logistic(terms: int, train: str, rounds: int = 10) -> str:
 def linear_part(terms: int, fit: str = "logit") -> str:
     """The linear predictor of a row of ``z`` beside the view ``fit``."""
     return " + ".join([f"{fit}.m[1][{terms + 2}]", *[f"{fit}.m[{i + 2}][{terms + 2}] * z{i}" for i in range(terms)]])
+
+
+def lasso(terms: int, train: str, penalties: Sequence[float], sweeps: int = 400) -> str:
+    """From ``x``: scales ``st`` and ``lasso(g, b)``, coefficients in scaled units by coordinate descent."""
+    stats = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(terms))
+    r = _list([_list([f"corr(x{i}, x{j})" for j in range(terms)]) for i in range(terms)])
+    v = _list([f"corr(x{i}, y)" for i in range(terms)])
+    grid = ", ".join(f"({g})" for g in penalties)
+    zeros = _list(["0.0::DOUBLE"] * terms)
+    rest = "(v[a] - list_dot_product(r[a], b) + r[a][a] * b[a])"
+    return f"""st AS (SELECT avg(y) AS my, stddev_pop(y) AS sy, {stats}, {r} AS r, {v} AS v FROM x WHERE {train}),
+cd AS (SELECT 0 AS step, CAST(g AS DOUBLE) AS g, {zeros} AS b FROM (VALUES {grid}) t(g)
+       UNION ALL SELECT step + 1, g, list_transform(b, lambda old, a: CASE WHEN a = step % {terms} + 1
+         THEN sign({rest}) * greatest(abs({rest}) - g / sy, 0) ELSE old END) FROM cd, st WHERE step < {sweeps * terms}),
+lasso AS (SELECT g, b FROM cd WHERE step = {sweeps * terms})"""
+
+
+def lasso_score(terms: int) -> str:
+    """Prediction for a row of ``x`` beside ``st`` and ``lasso``."""
+    return "my + sy * (" + " + ".join(f"b[{i + 1}] * (x{i} - a{i}) / s{i}" for i in range(terms)) + ")"

@@ -345,6 +345,34 @@ def q_lasso_cv(spark, folder):
     return _path(spark, folder, 1, codes.LASSO_GRID)
 
 
+LASSO_PENALTIES = [0.5, 2.0, 10.0]
+LASSO_SQL = "+" + ",\n".join([
+    sql_linear.scaled_rows("split", "total_measure / 1e6", VIF_TERMS, ["is_train"]),
+    sql_linear.lasso(len(VIF_TERMS), "is_train", LASSO_PENALTIES),
+])
+
+
+@query("lasso_fit", LASSO_SQL + " " + " UNION ALL ".join(
+    f"SELECT g AS penalty, '{t}' AS term, round(b[{i + 1}] * sy / s{i}, 5) AS coef FROM lasso, st"
+    for i, t in enumerate(VIF_TERMS)), views=SPLIT_VIEWS, recursive=True)
+def q_lasso_fit(spark, folder):
+    whole = moments.total(_regression(spark, folder)[0])
+    fits = {g: linear.fit_at(whole, OUTCOME, REGRESSION_TERMS, 1, g) for g in LASSO_PENALTIES}
+    rows = [(g, t, float(b)) for g, fit in fits.items() for t, b in zip(fit.terms, fit.coef)]
+    return _rounded_to(spark.createDataFrame(rows, "penalty double, term string, coef double"), "coef", 5)
+
+
+@query("lasso_holdout", LASSO_SQL + f"""
+SELECT g AS penalty, round(avg(pow(y - ({sql_linear.lasso_score(len(VIF_TERMS))}), 2)), 4) AS test_error
+FROM x, st, lasso WHERE NOT is_train GROUP BY g""", views=SPLIT_VIEWS, recursive=True)
+def q_lasso_holdout(spark, folder):
+    """Errors at given penalties from the hold-out moments alone."""
+    folds, test = _regression(spark, folder)
+    whole = moments.total(folds)
+    rows = [(g, linear.fit_at(whole, OUTCOME, REGRESSION_TERMS, 1, g).mse(test, OUTCOME)) for g in LASSO_PENALTIES]
+    return _rounded_to(spark.createDataFrame(rows, "penalty double, test_error double"), "test_error", 4)
+
+
 def _penalised(spark, folder):
     folds, test = _regression(spark, folder)
     return linear.penalised_fits(folds, OUTCOME, REGRESSION_TERMS, codes.RIDGE_GRID, codes.LASSO_GRID), test

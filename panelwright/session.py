@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may do without: it gets a temporary folder, since
     driver and tasks share one machine there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
