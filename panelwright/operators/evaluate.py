@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.nulls import as_column, if_known
 from ..functions.stats import mean_squared_error, mismatch_rate
@@ -74,8 +74,6 @@ def best_parameters(summary: DataFrame, parameters: Sequence[str], metric: str)
 def leaderboard(results: DataFrame, error_column: str, metric: str | None = None) -> DataFrame:
     """Rank methods by error. With ``metric`` also within each metric, since a
     squared error and an error rate do not compare."""
-    from pyspark.sql import Window
-
     order = [F.col(error_column).asc_nulls_last(), F.col("method")]
     out = rank_small(results, order)
     if metric:
