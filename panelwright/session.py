@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: dict[str, str] = {}
-
 
 def local_session(cpus: int = 8, memory: str = "8g", name: str = "panelwright") -> SparkSession:
     """A single-machine session. On a cluster the submitted configuration is used."""
@@ -28,27 +25,37 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "panelwright")
     return spark
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """This application's folder for staged tables, below ``spark.checkpoint.dir``.
 
-    Only a local session may do without: it gets a temporary folder, since
-    driver and tasks share one machine there.
+    Without that setting it lies in the warehouse folder, which every executor
+    reaches as well. The folder goes when the application ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    key = spark.sparkContext.applicationId
-    if key not in _local_folder:
-        _local_folder[key] = tempfile.mkdtemp(prefix="panelwright-")
-    return _local_folder[key]
+    base = (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    root = f"{base}/panelwright-{spark.sparkContext.applicationId}"
+    if root not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[root] = str(files.makeQualified(path).toString())
+    return _folders[root]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder whose readers are done."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
