@@ -197,6 +197,7 @@ def remove_contaminated(
 ) -> DataFrame:
     """The documents without those that hold a window of the benchmark; all columns stay as they are."""
     windows = benchmark_windows(benchmark, window, broadcast_windows)
-    found = stage(find_hits(docs, windows).where(F.size("hits") > 0), "hits")
+    # Staged before any filter: a filter would be moved below the words and split every text anew for each of them.
+    found = stage(find_hits(docs, windows).select("key", "hits"), "hits")
     bad = _verified(found, windows).select(F.col("key").alias("_contaminated_key")).distinct()
     return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_contaminated_key"], "left_anti")

@@ -7,7 +7,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import stage
 from .files import ship_package
@@ -15,11 +15,11 @@ from .graph import connected_components
 from .minhash import _mix
 
 DIMENSIONS = 8
-TABLES = 8
+TABLES = 6
 #: Cells looked up beside a vector's own in every table.
 PROBES = 3
 #: Unit of the lattice after the projection of a unit vector, in standard deviations of one coordinate.
-CELL = 2.0
+CELL = 1.5
 #: Rows of a bucket compared in one step; a larger bucket is cut into blocks that meet pairwise.
 BLOCK = 2048
 SEED = 8128
@@ -93,7 +93,7 @@ _HASHED = pa.schema([
 ])
 
 
-def _hashed(groups: DataFrame, tables: int, probes: int, cell: float) -> DataFrame:
+def _hashed(groups: DataFrame, tables: int, probes: int, cell: float, stored: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, copies, labels = (batch.column(i).to_numpy() for i in range(3))
@@ -103,7 +103,7 @@ def _hashed(groups: DataFrame, tables: int, probes: int, cell: float) -> DataFra
                 vectors = np.array([rows[i] for i in mine])
                 homes, others = lattice_keys(vectors, labels[mine], tables, probes, cell)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(nodes[mine]), pa.array(copies[mine]), pa.array([v.tobytes() for v in vectors], pa.binary()),
+                    pa.array(nodes[mine]), pa.array(copies[mine]), pa.array([v.astype(stored).tobytes() for v in vectors], pa.binary()),
                     pa.array(list(homes), pa.list_(pa.int64())),
                     pa.array(list(others.reshape(len(mine), -1)), pa.list_(pa.int64())),
                 ], schema=_HASHED)
@@ -128,13 +128,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Cell:
     """The rows of one bucket, or of two blocks of one, on their way to a comparison."""
 
-    def __init__(self, rows: list[dict], least: float):
+    def __init__(self, rows: list[dict], least: float, stored: str):
         rows.sort(key=lambda r: r["node"])
         self.node = np.array([r["node"] for r in rows], dtype=np.int64)
         self.copies = np.array([r["copies"] for r in rows], dtype=np.int64)
         self.own = np.array([r["own"] for r in rows], dtype=bool)
         self.block = np.array([r["block"] for r in rows])
-        vectors = np.array([np.frombuffer(r["vector"], "<f8") for r in rows])
+        vectors = np.array([np.frombuffer(r["vector"], stored) for r in rows], dtype=np.float64)
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         self.homes = np.array([r["homes"] for r in rows], dtype=np.int64)
         self.others = np.array([r["others"] for r in rows], dtype=np.int64).reshape(len(rows), self.homes.shape[1], -1)
@@ -177,14 +177,14 @@ class _Cell:
         return pa.RecordBatch.from_pydict({"node": self.node[told], "links": links[told], "root": root[told]})
 
 
-def _compared(cells: DataFrame, least: float) -> DataFrame:
+def _compared(cells: DataFrame, least: float, stored: str) -> DataFrame:
     """Compare within cells; the rows of a cell lie one after the other in its task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
 
         def finish():
-            return _Cell(rows, least).compare(at[0], at[1] != at[2]) if len(rows) > 1 else None
+            return _Cell(rows, least, stored).compare(at[0], at[1] != at[2]) if len(rows) > 1 else None
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -234,7 +234,9 @@ def near_vectors(
         ),
         "vectors",
     )
-    hashed = stage(_hashed(groups, tables, probes, cell), "cells")
+    kind = vectors.schema[vector_column].dataType
+    stored = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
+    hashed = stage(_hashed(groups, tables, probes, cell, stored), "cells")
     own = hashed.select("node", F.explode("homes").alias("key"), F.lit(True).alias("own"))
     members = own.union(hashed.select("node", F.explode("others").alias("key"), F.lit(False)))
     sizes = members.groupBy("key").agg(
@@ -247,7 +249,7 @@ def near_vectors(
     cells = dealt.join(hashed, "node").select(
         "key", "p", "q", "node", "own", "block", "copies", "vector", "homes", "others"
     ).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    told = stage(_compared(cells, least), "links")
+    told = stage(_compared(cells, least, stored), "links")
     counts = told.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = groups.join(counts, "node", "left").join(components, "node", "left").select(

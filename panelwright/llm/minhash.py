@@ -147,41 +147,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _links(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
-    """Enough links to connect what the buckets connect.
+def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, component) of all nodes that have a link.
 
     ``buckets`` has (key, node, n, size, u): every member of every bucket with the
     size of its set, the size of the bucket and the node's hash in [0, 1). In each
     round a growing share of a bucket's members are centres and meet those members
     that belong to another component so far and were not centres before. Copies
     collapse into one component after the first centres, so they are never
-    compared all with all; where texts differ, the rounds go on until every pair of
-    a bucket has met or is connected.
+    compared all with all; a bucket in one component is done. Where texts differ,
+    the rounds go on until every pair of a bucket has met or is connected.
     """
-    links, labels, done = None, None, 0.0
+    now, links, done = buckets.withColumn("component", F.col("node")), None, 0.0
     while True:
-        now = buckets
-        if labels is not None:
-            now = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = now.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            now = now.join(split.where("_lo != _hi").select("key"), "key", "left_semi")
-        else:
-            now = now.withColumn("component", F.col("node"))
         reach = 2 * done + FIRST_CENTRES
-        now = now.where(F.col("u") * F.col("size") >= done)
-        centres = now.where(F.col("u") * F.col("size") < reach).select(
+        open_members = now.where(F.col("u") * F.col("size") >= done)
+        centres = open_members.where(F.col("u") * F.col("size") < reach).select(
             "key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component")
         )
-        pairs = now.join(centres, "key").where(
+        pairs = open_members.join(centres, "key").where(
             (F.col("component") != F.col("c_component"))
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
         ).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
         found = stage(_verified(pairs, sets, threshold), "pairs")
         links = found if links is None else links.union(found)
-        left = buckets.where(F.col("size") > reach)
-        if left.isEmpty():
-            return links
-        labels, done, buckets = stage(connected_components(links), "labels"), reach, stage(left, "buckets")
+        labels = stage(connected_components(links), "labels")
+        left = now.where(F.col("size") > reach).drop("component").join(labels, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
+        split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        now, done = stage(left.join(split.select("key"), "key", "left_semi"), "buckets"), reach
+        if now.isEmpty():
+            return labels
 
 
 def near_duplicates(
@@ -219,7 +216,7 @@ def near_duplicates(
     sets = stage(
         shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
     )
-    components = connected_components(_links(buckets, sets, threshold))
+    components = _components(buckets, sets, threshold)
     marked = groups.join(components, "node", "left").where("copies > 1 or component is not null").select(
         "set_key", F.coalesce("component", "node").alias("component")
     )

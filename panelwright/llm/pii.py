@@ -252,8 +252,8 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model:
     )
 
 
-def spans(text: Column, model: Model) -> Column:
-    """The spans of a text: (kind, start, end), by start, then kind as listed.
+def accepted_spans(chosen: Column, model: Model) -> Column:
+    """The spans among a column of candidates: (kind, start, end), by start, then kind as listed.
 
     Valid matches of the base kinds always stand. A span of an added kind stands if
     its own rules hold, the classifier says so and it overlaps no base span.
@@ -264,7 +264,6 @@ def spans(text: Column, model: Model) -> Column:
             score = score + F.lit(w) * c[f"v_{name}"]
         return score + F.lit(model.weights[-1]) * c["digits"] > 0
 
-    chosen = candidates(text)
     is_base = lambda c: c["kind"] < len(BASE_KINDS)
     base = F.filter(chosen, lambda c: is_base(c) & c["valid"])
     added = F.filter(chosen, lambda c: ~is_base(c) & c["valid"] & accepted(c))
@@ -286,7 +285,9 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     columns are ignored; without any candidate nothing is added.
     """
     model = fit(docs, text_column)
-    return docs.select(docs[id_column].alias("doc_id"), spans(docs[text_column], model).alias("spans"))
+    # Candidates are a column of their own, so that the patterns run once.
+    found = docs.select(docs[id_column].alias("doc_id"), candidates(docs[text_column]).alias("candidates"))
+    return found.select("doc_id", accepted_spans(F.col("candidates"), model).alias("spans"))
 
 
 def masked(text: Column, found: Column) -> Column:
@@ -308,7 +309,9 @@ def masked(text: Column, found: Column) -> Column:
 def mask_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The documents with personal data masked; ``n_chars``, where there is one, follows the new text."""
     model = fit(docs, text_column)
-    found = docs.withColumn("_panelwright_masked", masked(docs[text_column], spans(docs[text_column], model)))
+    found = docs.withColumn("_panelwright_candidates", candidates(docs[text_column]))
+    found = found.withColumn("_panelwright_spans", accepted_spans(F.col("_panelwright_candidates"), model))
+    found = found.withColumn("_panelwright_masked", masked(F.col(text_column), F.col("_panelwright_spans")))
     out = {text_column: F.col("_panelwright_masked")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -123,11 +123,11 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = np.bincount(ngrams(text.as_py()), minlength=BUCKETS)
-                counts[1] += found
-                if good:
-                    counts[0] += found
+            found = [ngrams(text.as_py()) for text in batch.column(0)]
+            good = [grams for grams, mark in zip(found, batch.column(1).to_pylist()) if mark]
+            for row, grams in ((1, found), (0, good)):
+                if grams:
+                    counts[row] += np.bincount(np.concatenate(grams), minlength=BUCKETS)
         met = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_pydict({"bucket": met, "target": counts[0][met], "raw": counts[1][met]})
 

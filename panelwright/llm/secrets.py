@@ -34,7 +34,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 # Names made of words: parts of letters, joined by marks or by a change of case, with a number at most at the end.
-_NAME = re.compile(r"[A-Z]?[a-z]+([_/+=-]*[A-Z]?[a-z]+)*[_=-]*[0-9]{0,4}|[A-Z]+([_/+=-]+[A-Z]+)*[_=-]*[0-9]{0,4}")
+_NAME = re.compile(
+    r"[A-Z]?[a-z]++(?:[_/+=-]++[A-Z]?[a-z]++|[A-Z][a-z]++)*+[_=-]*+[0-9]{0,4}|[A-Z]++(?:[_/+=-]++[A-Z]++)*+[_=-]*+[0-9]{0,4}"
+)
 _NUMBER = re.compile(r"[0-9/_=+-]+")
 
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: int, end: int>>"
