@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from .nulls import as_column
@@ -25,11 +27,16 @@ def uniform(row_id, purpose, seed: int = DEFAULT_SEED) -> Column:
 
 
 def poisson_one(row_id, purpose, seed: int = DEFAULT_SEED) -> Column:
-    """A Poisson(1) count: how often a row enters one bootstrap bag."""
+    """A Poisson(1) count: how often a row enters one bootstrap bag.
+
+    The ladder goes on until the rest is less than the grain of a draw.
+    """
     u = uniform(row_id, purpose, seed)
-    term, cumulative, out = 0.36787944117144233, 0.0, None
-    for count in range(12):
+    term, cumulative, count, out = math.exp(-1.0), math.exp(-1.0), 0, F
+    while True:
+        out = out.when(u < cumulative, count)
+        count += 1
+        term /= count
+        if cumulative >= 1.0 - 2.0**-HASH_BITS:
+            return out.otherwise(count)
         cumulative += term
-        out = F.when(u < cumulative, count) if out is None else out.when(u < cumulative, count)
-        term /= count + 1
-    return out.otherwise(12)

@@ -8,13 +8,13 @@ from .nulls import as_column
 
 
 def correlation(a, b, where: Column | None = None) -> Column:
-    """Pearson correlation over the rows where both sides are known.
+    """Pearson correlation over the rows where both sides are known (NaN is not).
 
     NULL for a constant side, a single pair or no pair. ``where`` restricts the
     rows, so that many populations can share one aggregation.
     """
     a, b = as_column(a).cast("double"), as_column(b).cast("double")
-    usable = a.isNotNull() & b.isNotNull()
+    usable = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
     if where is not None:
         usable = usable & where
     x, y = F.when(usable, a), F.when(usable, b)

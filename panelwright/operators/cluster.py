@@ -10,16 +10,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import DEFAULT_SEED, draw
+from ..session import stage
+from .columns import complete_rows
 
 
 @dataclass
 class Clustering:
-    """Centres of one run and its total within-cluster sum of squares."""
+    """Centres of one run, its total within-cluster sum of squares, its rounds and whether they were enough."""
 
     k: int
     start: int
     centres: np.ndarray
     within: float
+    rounds: int = 0
+    converged: bool = False
 
 
 def squared_distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
@@ -83,17 +87,20 @@ def _partial_sums(columns: Sequence[str], stacked: np.ndarray, owner: np.ndarray
 
 def cluster_grid(
     df: DataFrame, row_id: str, columns: Sequence[str], counts: Sequence[int], starts: int = 20,
-    iterations: int = 100, tolerance: float = 1e-6, seed: int = DEFAULT_SEED,
+    iterations: int = 1000, tolerance: float = 0.0, seed: int = DEFAULT_SEED,
 ) -> dict[int, Clustering]:
     """The best of ``starts`` runs for every cluster count.
 
     Each round reads the table once for all runs together and returns one row
     per cluster and task, so 100 runs cost as many passes as the slowest of them
     and not their sum. A run drops out when a round lowers its sum of squares by
-    no more than the ``tolerance`` share (0: until no centre moves).
+    no more than the ``tolerance`` share (0: until no centre moves); ``converged``
+    is false where ``iterations`` rounds were not enough. Rows with a NULL or NaN
+    in one of the columns take no part.
     """
     p = len(columns)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    df = complete_rows(df.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
+    data = stage(df.select(*columns), "points")
     means = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = np.array([means[c] for c in columns])
     pool = starting_rows(df, row_id, columns, starts * max(counts), seed) - centre
@@ -121,15 +128,16 @@ def cluster_grid(
             new = run.centres.copy()
             new[filled] = sums[mine][filled] / n[mine][filled][:, None]
             settled = np.allclose(new, run.centres, rtol=1e-12, atol=0.0)
-            if not settled and before - run.within > tolerance * run.within:
+            run.rounds += 1
+            run.converged = settled or before - run.within <= tolerance * run.within
+            if not run.converged:
                 still.append(run)
             run.centres = new
         moving = still
         if not moving:
             break
-    data.unpersist()
     best = {}
     for k in counts:
         found = min((r for r in runs if r.k == k), key=lambda r: r.within)
-        best[k] = Clustering(k, found.start, found.centres + centre, found.within)
+        best[k] = Clustering(k, found.start, found.centres + centre, found.within, found.rounds, found.converged)
     return best

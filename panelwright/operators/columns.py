@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .order import add_row_id
@@ -43,29 +45,42 @@ def complete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
 
 
 def is_complete(names: Sequence[str]) -> Column:
-    """The listwise condition as a flag, for aggregations that need both modes."""
+    """The listwise condition as a flag, for aggregations that need both modes.
+
+    As in ``complete_rows``, NaN is missing.
+    """
     out = F.lit(True)
     for name in names:
-        out = out & F.col(name).isNotNull()
+        number = F.col(name).try_cast("double")
+        out = out & F.col(name).isNotNull() & ~F.coalesce(F.isnan(number), F.lit(False))
     return out
 
 
-def one_hot(df: DataFrame, name: str, max_levels: int = 1000) -> DataFrame:
-    """Replace a categorical column by one 0/1 column per level.
+def one_hot(df: DataFrame, name: str, levels: Sequence) -> DataFrame:
+    """Replace a categorical column by one 0/1 column per given level.
 
-    The levels become columns, so their number is checked. A NULL category is 0
-    in every column.
+    A NULL category and a level that is not listed are 0 in every column. For
+    levels that only the data know, ``one_hot_vector`` has no bound.
     """
-    levels = [
-        r[0] for r in
-        df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(max_levels + 1).collect()
-    ]
-    if len(levels) > max_levels:
-        raise ValueError(f"{name} has more than {max_levels} levels")
     flags = {f"{name}_{level}": F.coalesce((F.col(name) == F.lit(level)).cast("int"), F.lit(0)) for level in levels}
     return df.withColumns(flags).drop(name)
 
 
+def one_hot_vector(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Add a sparse 0/1 vector over all levels in ascending order, however many there are.
+
+    NULL has no 1 in it.
+    """
+    coded = index_levels(df, name, "_level")
+    size = coded.agg(F.coalesce(F.max("_level") + 1, F.lit(0)).alias("n")).first()["n"]
+    if not size:
+        return coded.drop("_level").withColumn(out, F.lit(None).cast(VectorUDT()))
+    # "keep" reads a code beyond the levels as a vector without a 1.
+    encoder = OneHotEncoder(inputCol="_level", outputCol=out, handleInvalid="keep", dropLast=True)
+    fitted = encoder.fit(coded.where(F.col("_level").isNotNull()))
+    return fitted.transform(coded.withColumn("_level", F.coalesce("_level", F.lit(size)))).drop("_level")
+
+
 def index_levels(df: DataFrame, name: str, out: str) -> DataFrame:
     """Zero-based code of each level in ascending order; NULL stays NULL.
 

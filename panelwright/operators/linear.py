@@ -54,19 +54,45 @@ def ols(m: Moments, outcome: str, terms: Sequence[str]) -> LinearFit:
     return LinearFit(tuple(terms), float(m.mean[y] - b @ m.mean[x]), b)
 
 
+def _independent(a: np.ndarray, tolerance: float = 1e-9) -> list[int]:
+    """Positions of the columns that are no combination of earlier ones, by elimination in order."""
+    rest, kept = a.copy(), []
+    for j in range(len(a)):
+        if rest[j, j] > tolerance:
+            kept.append(j)
+            rest = rest - np.outer(rest[:, j], rest[j]) / rest[j, j]
+    return kept
+
+
 def ols_table(m: Moments, outcome: str, terms: Sequence[str]) -> list[tuple]:
-    """(term, estimate, std_error, statistic, p_value) with the intercept first."""
-    fit = ols(m, outcome, terms)
+    """(term, estimate, std_error, statistic, p_value) with the intercept first.
+
+    A constant predictor and one that repeats earlier ones have NULL in all four;
+    the degrees of freedom are the rows less the rank. Without any left, or with
+    residuals of 0, errors and what follows from them are NULL.
+    """
+    scale = np.sqrt(np.diag(m.cross)[m.at(terms)])
+    scale[scale == 0] = 1.0
     x = m.at(terms)
-    freedom = m.n - len(terms) - 1
-    sigma2 = fit.mse(m, outcome) * m.n / freedom
-    scale = np.sqrt(np.diag(m.cross)[x])
-    inverse = np.linalg.pinv(m.cross[np.ix_(x, x)] / np.outer(scale, scale)) / np.outer(scale, scale)
-    errors = np.sqrt(sigma2 * np.concatenate([[1 / m.n + m.mean[x] @ inverse @ m.mean[x]], np.diag(inverse)]))
+    used = [terms[j] for j in _independent(m.cross[np.ix_(x, x)] / np.outer(scale, scale))]
+    fit, x = ols(m, outcome, used), m.at(used)
+    scale = np.sqrt(np.diag(m.cross)[x]) if used else np.ones(0)
+    freedom = m.n - len(used) - 1
+    known = {"(Intercept)": fit.intercept, **dict(zip(used, fit.coef))}
+    errors = {}
+    if freedom > 0:
+        sigma2 = max(fit.mse(m, outcome), 0.0) * m.n / freedom
+        inverse = np.linalg.inv(m.cross[np.ix_(x, x)] / np.outer(scale, scale)) / np.outer(scale, scale)
+        spread = np.concatenate([[1 / m.n + m.mean[x] @ inverse @ m.mean[x]], np.diag(inverse)])
+        errors = dict(zip(known, np.sqrt(sigma2 * spread)))
     rows = []
-    for name, b, e in zip(("(Intercept)", *terms), (fit.intercept, *fit.coef), errors):
-        t = float(b / e)
-        rows.append((name, float(b), float(e), t, student_two_sided(t, freedom)))
+    for name in ("(Intercept)", *terms):
+        b, e = known.get(name), errors.get(name)
+        t = float(b / e) if b is not None and e else None
+        rows.append((
+            name, None if b is None else float(b), None if e is None else float(e), t,
+            None if t is None else student_two_sided(t, freedom),
+        ))
     return rows
 
 
@@ -98,7 +124,7 @@ def _lasso_at(r: np.ndarray, v: np.ndarray, limit: float, b: np.ndarray) -> np.n
     def objective(x):
         return 0.5 * x @ r @ x - v @ x + limit * np.abs(x).sum()
 
-    for _ in range(1000):
+    for _ in range(1000 + 100 * len(v)):
         gap = v - r @ b
         signs = np.sign(b)
         idle = signs == 0
@@ -121,6 +147,8 @@ def _lasso_at(r: np.ndarray, v: np.ndarray, limit: float, b: np.ndarray) -> np.n
         if np.array_equal(best, b):
             break
         b = best
+    else:
+        raise ArithmeticError("the lasso fit did not settle")
     return b
 
 

@@ -14,6 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 
+# Columns whose products are summed in one aggregation.
+_BLOCK = 48
+
+
 @dataclass
 class Moments:
     """Row count, means and centred cross products of named columns."""
@@ -46,27 +50,37 @@ def total(parts: Sequence[Moments]) -> Moments:
 def moments_by(df: DataFrame, columns: Sequence[str], by: str) -> dict:
     """Moments of each group of ``by`` (folds or split marks: few groups).
 
-    Columns must hold no NULL. Values are centred on the overall means before
+    Columns that hold NULL or NaN are refused. Values are centred on the overall means before
     they are multiplied, so that large values lose no digits.
     """
     p = len(columns)
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    means = df.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.count(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), 1)).alias(f"k{i}") for i, c in enumerate(columns)],
+    ).first()
+    missing = [c for i, c in enumerate(columns) if means[f"k{i}"] < means["n"]]
+    if missing:
+        raise ValueError(f"missing values in {', '.join(missing)}: drop or fill these rows first")
     centre = np.array([means[f"m{i}"] or 0.0 for i in range(p)])
-    shifted = df.select(by, *[(F.col(c) - F.lit(float(centre[i]))).alias(f"x{i}") for i, c in enumerate(columns)])
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
-    products = [
-        F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)
-    ]
-    out = {}
-    for row in shifted.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect():
-        n = row["n"]
-        s = np.array([row[f"s{i}"] for i in range(p)])
-        q = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                q[i, j] = q[j, i] = row[f"q{i}_{j}"]
-        out[row[by]] = Moments(tuple(columns), n, centre + s / n, q - np.outer(s, s) / n)
-    return out
+    shifted = df.select(
+        F.col(by).alias("_by"), *[(F.col(c).cast("double") - F.lit(float(centre[i]))).alias(f"x{i}") for i, c in enumerate(columns)]
+    )
+    out: dict = {}
+    # One row per column within the task and few aggregates a node: generated code ends at 100 fields.
+    for first in range(0, p, _BLOCK):
+        block = range(first, min(p, first + _BLOCK))
+        sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in range(p)]))
+        long = shifted.select("_by", *[f"x{j}" for j in block], sides.alias("_side")).select("*", "_side.i", "_side.v")
+        sums = long.groupBy("_by", "i").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), *[F.sum(F.col("v") * F.col(f"x{j}")).alias(f"q{j}") for j in block]
+        )
+        for row in sums.collect():
+            n, s, q = out.setdefault(row["_by"], (row["n"], np.zeros(p), np.zeros((p, p))))
+            s[row["i"]] = row["s"]
+            q[row["i"], first : first + len(block)] = [row[f"q{j}"] for j in block]
+    return {
+        key: Moments(tuple(columns), n, centre + s / n, (q + q.T) / 2 - np.outer(s, s) / n) for key, (n, s, q) in out.items()
+    }
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:

@@ -28,7 +28,8 @@ class Roles:
     """Panel column of each role.
 
     ``first_prefixes`` chooses further attributes of the first row by name;
-    ``dropped`` are left out of them.
+    ``dropped`` are left out of them. Rows of one entity and time are put in order
+    by ``ties``, then by the attributes themselves, so only equal rows are tied.
     """
 
     keys: tuple[str, str] = ("entity_id", "location")
@@ -45,6 +46,7 @@ class Roles:
     first: tuple[str, ...] = ()
     first_prefixes: tuple[str, ...] = ()
     dropped: tuple[str, ...] = ()
+    ties: tuple[str, ...] = ()
 
 
 @dataclass
@@ -68,7 +70,7 @@ def entity_table(panel: DataFrame, roles: Roles) -> DataFrame:
     named = [roles.kind, roles.issue, roles.region, roles.name, roles.wealth, roles.allies, *roles.first]
     first = select_columns(panel, [c for c in named if c in panel.columns], roles.first_prefixes, roles.dropped).columns
     totals = {"severity_total": roles.severity, "total_actions": roles.actions, "total_unanimous": roles.unanimous}
-    rolled = roll_up(panel, roles.keys, roles.time, totals, first)
+    rolled = roll_up(panel, roles.keys, roles.time, totals, first, [*roles.ties, *[c for c in first if c not in roles.ties]])
     return rolled.withColumns(action_flags("total_actions", "total_unanimous"))
 
 

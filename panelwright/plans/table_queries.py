@@ -15,7 +15,7 @@ from ..session import new_path, stage
 from ..sources.csv import drop_index, read_csv, with_index, write_csv
 from ..sources.tables import read_table
 from . import codes, reports
-from .fixture import KEYS, SEGMENT_CODES, TOTALS, cents, entity, features, model_data, panel
+from .fixture import KEYS, SEGMENT_CODES, TOTALS, cents, entity, features, model_data, panel, with_labels
 from .registry import MODEL_VIEWS, query, sql_draw
 
 WEIGHTS = {reports.ACTIONS: "total_actions", reports.UNANIMOUS: "total_unanimous"}
@@ -40,6 +40,12 @@ def q_select_prefix(spark, folder):
     )
 
 
+@query("drop_positions", "SELECT entity_id, year, measure_cents, n_unanimous FROM panel")
+def q_drop_positions(spark, folder):
+    table = panel(spark, folder).select(*KEYS, "year", "measure_cents", "n_actions", "n_unanimous")
+    return columns.drop_positions(table, [1, 4])
+
+
 @query("entity_span", """
 SELECT entity_id, location, min(year) AS start_year, max(year) AS end_year FROM panel GROUP BY entity_id, location""")
 def q_entity_span(spark, folder):
@@ -145,7 +151,8 @@ SELECT entity_id, wealth,
        CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 0 END AS "segment_MACHINERY"
 FROM entity""")
 def q_one_hot(spark, folder):
-    return columns.one_hot(entity(spark, folder).select("entity_id", "wealth", "segment"), "segment")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return columns.one_hot(entity(spark, folder).select("entity_id", "wealth", "segment"), "segment", segments)
 
 
 @query("listwise_complete", """
@@ -427,6 +434,11 @@ def q_by_issue(spark, folder):
     return reports.breakdown(entity(spark, folder), issue_label(), WEIGHTS)
 
 
+@query("issue_report", _levels_sql(ISSUE_SQL, codes.ISSUE_ORDER))
+def q_issue_report(spark, folder):
+    return _ordered_tally(spark, folder, issue_label(), codes.ISSUE_ORDER)
+
+
 @query("by_region", _breakdown_sql(REGION_SQL))
 def q_by_region(spark, folder):
     return reports.breakdown(entity(spark, folder), region_label(), WEIGHTS)
@@ -443,6 +455,12 @@ def q_scatter_pairs(spark, folder):
     return reports.scatter(features(spark, folder), list(SCATTER_WIDTH), WEIGHTS, SCATTER_WIDTH)
 
 
+@query("scatter_points", """
+SELECT entity_id, wealth, total_actions FROM entity WHERE total_actions > 0""")
+def q_scatter_points(spark, folder):
+    return entity(spark, folder).where(F.col("total_actions") > 0).select("entity_id", "wealth", "total_actions")
+
+
 @query("top15_report", f"""
 +top AS (SELECT * FROM entity ORDER BY total_measure DESC NULLS LAST, entity_id LIMIT 15)
 SELECT entity_id, CASE WHEN entity_id = 143 AND segment IS NULL THEN 'Kept name'
@@ -536,6 +554,24 @@ def q_nest_unnest(spark, folder):
     return reshape.unnest_parallel(nested, ["entity_id"], ["metric", "a", "b"])
 
 
+@query("nest_rows", """
+SELECT entity_id, location, row_number() OVER (PARTITION BY entity_id, location ORDER BY year) AS position,
+       year, measure_cents, n_actions FROM panel""")
+def q_nest_rows(spark, folder):
+    table = panel(spark, folder).select(*KEYS, "year", "measure_cents", "n_actions")
+    return reshape.unnest_rows(reshape.nest_rows(table, KEYS, ["year"]), KEYS, position="position")
+
+
+@query("model_labels", """
+SELECT entity_id, CASE WHEN action_flag = 0 THEN 'No' ELSE 'Yes' END AS action_label,
+       CASE WHEN unanimous_flag = 0 THEN 'No' ELSE 'Yes' END AS unanimous_label,
+       CAST(1 - action_flag AS BIGINT) AS action_level, CAST(1 - unanimous_flag AS BIGINT) AS unanimous_level
+FROM model_data""", views=MODEL_VIEWS)
+def q_model_labels(spark, folder):
+    labelled = with_labels(model_data(spark, folder).drop("action_label"))
+    return labelled.select("entity_id", "action_label", "unanimous_label", "action_level", "unanimous_level")
+
+
 @query("signif_stars", f"""
 +d AS (SELECT entity_id, region_code, CAST(round(wealth * 100) AS BIGINT) - 450000 AS w FROM entity WHERE wealth IS NOT NULL),
 obs AS (SELECT region_code, abs(sum(w)) AS s FROM d GROUP BY 1),

@@ -12,12 +12,17 @@ MISSING = "NA"
 INDEX = "_c0"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a table; ``NA`` and empty fields become NULL, and so does NaN.
-
-    Give the schema for known tables: inference costs one more scan.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = False
+) -> DataFrame:
+    """Read a table; ``NA`` and empty fields become NULL, and so does NaN. A quote
+    within a quoted field is doubled.
+
+    Give the schema for known tables: inference costs one more scan. Say so if
+    quoted fields may hold ``line_breaks``: such a file can't be split among tasks.
     """
-    reader = spark.read.option("header", True).option("nullValue", MISSING)
+    reader = spark.read.option("header", True).option("nullValue", MISSING).option("escape", '"')
+    reader = reader.option("multiLine", line_breaks)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -28,7 +33,7 @@ def write_csv(df: DataFrame, path: str, index_order: list[str] | None = None) ->
     """Write a table, with a leading row index in ``index_order`` if that is given."""
     if index_order:
         df = add_row_id(df, index_order, INDEX).select(INDEX, *df.columns)
-    df.write.option("header", True).option("nullValue", MISSING).csv(path)
+    df.write.option("header", True).option("nullValue", MISSING).option("escape", '"').csv(path)
 
 
 def with_index(schema: T.StructType) -> T.StructType:

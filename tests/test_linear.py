@@ -149,3 +149,28 @@ def test_tails():
     assert exact_interval(0, 20)[0] == 0.0 and math.isclose(exact_interval(0, 20)[1], 1 - 0.025 ** (1 / 20), rel_tol=1e-9)
     low, high = exact_interval(5 * 10**9, 10**10)
     assert math.isclose(high - low, 2 * 1.959964 * 0.5 / 10**5, rel_tol=1e-3)
+
+
+def test_coefficient_table_with_constant_and_repeated_terms(spark):
+    from panelwright.operators import linear
+    from panelwright.operators.moments import moments
+
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 60))
+    y = 1 + 2 * a - b + rng.normal(size=60)
+    rows = [(float(y[i]), float(a[i]), 5.0, float(2 * a[i] + 1), float(b[i])) for i in range(60)]
+    m = moments(spark.createDataFrame(rows, "y double, a double, c double, twice double, b double"), ["y", "a", "c", "twice", "b"])
+    got = {r[0]: r[1:] for r in linear.ols_table(m, "y", ["a", "c", "twice", "b"])}
+    plain = {r[0]: r[1:] for r in linear.ols_table(m, "y", ["a", "b"])}
+    assert got["c"] == got["twice"] == (None,) * 4
+    for name in ("(Intercept)", "a", "b"):
+        assert got[name] == pytest.approx(plain[name])
+
+
+def test_binomial_tail_keeps_its_digits():
+    from panelwright.operators.distributions import binomial_at_least
+
+    for n in (10**6, 10**10, 10**11):
+        # P(X >= n/2) is one half and half the middle term, 1/sqrt(2 pi n/4).
+        assert binomial_at_least(n // 2, n, 0.5) == pytest.approx(0.5 + 0.5 / (2 * np.pi * n / 4) ** 0.5, abs=1e-10)
+    assert binomial_at_least(3, 10, 0.2) == pytest.approx(0.3222004736)

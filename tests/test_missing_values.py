@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from panelwright.functions import nulls, recode as rc
@@ -179,7 +181,7 @@ def test_column_tools(spark):
     out = columns.map_types(df, T.DoubleType, nulls.zero_to_null)
     assert rows(out, "s") == [(None, "A", 0), (2.0, "B", 1)]
     assert columns.drop_positions(df, [0, 1]).columns == ["i"]
-    hot = columns.one_hot(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, c string"), "c")
+    hot = columns.one_hot(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, c string"), "c", ["a", "b"])
     assert rows(hot, "k") == [(1, 1, 0), (2, 0, 0), (3, 0, 1)]
 
 
@@ -205,3 +207,44 @@ def test_log_grid_ends():
 
     g = log_grid(-2, 10, 200)
     assert len(g) == 200 and math.isclose(g[0], 0.01) and math.isclose(g[-1], 1e10)
+
+
+def test_nan_is_missing_in_correlations(spark):
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [(1.0, 2.0, 1.0), (2.0, 1.0, 5.0), (3.0, 4.0, 2.0), (4.0, 3.0, nan), (9.0, nan, 1.0)], "y double, a double, b double"
+    )
+    from panelwright.operators import correlation
+
+    got = {(r.na_mode, r.term): r.r for r in correlation.correlate(
+        df, ["y"], ["a", "b"], modes=[correlation.PAIRWISE, correlation.LISTWISE]).collect()}
+    assert got["pairwise", "a"] == pytest.approx(0.6)
+    whole = {(r.term_i, r.term_j): r.r for r in correlation.correlation_matrix(df, ["y", "a", "b"]).collect()}
+    assert got["listwise", "a"] == pytest.approx(whole["y", "a"])
+
+
+def test_incomplete_rows_take_no_part_in_clusters(spark):
+    from panelwright.operators import cluster
+
+    rows = [(i, float(i % 7) + 10 * (i % 2), float(i % 5)) for i in range(200)]
+    full = spark.createDataFrame(rows, "id long, x double, y double").repartition(4)
+    holed = spark.createDataFrame(rows + [(900, None, 1.0), (901, float("nan"), 1.0)], "id long, x double, y double").repartition(4)
+    a = cluster.cluster_grid(full, "id", ["x", "y"], [2], starts=3)[2]
+    b = cluster.cluster_grid(holed, "id", ["x", "y"], [2], starts=3)[2]
+    assert a.converged and b.converged and a.within == pytest.approx(b.within)
+
+
+def test_one_hot_vector_has_all_levels(spark):
+    df = spark.createDataFrame([(i, None if i == 5 else f"v{i % 1500:04d}") for i in range(1600)], "k int, c string")
+    got = {r.k: r.v for r in columns.one_hot_vector(df, "c", "v").collect()}
+    assert got[5].numNonzeros() == 0 and got[7].size == 1500
+    assert got[7].indices.tolist() == [7]
+
+
+def test_missing_values_are_refused_by_moments(spark):
+    from panelwright.operators.moments import moments
+
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1.0, 2.0), (2.0, bad)], "a double, b double")
+        with pytest.raises(ValueError, match="b"):
+            moments(df, ["a", "b"])

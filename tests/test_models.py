@@ -149,3 +149,17 @@ def test_study_of_a_ring(spark, ring):
         found, best, error = radial_svm(s)
     assert len(found) == 3 * len(settings.gammas) * len(settings.radial_costs)
     assert error < 0.2
+
+
+def test_exponents_follow_the_expansion(spark):
+    from pyspark.ml.feature import PolynomialExpansion
+    from pyspark.ml.linalg import Vectors
+
+    from panelwright.operators.classify import _exponents
+
+    x = np.array([2.0, 3.0, 5.0, 7.0])
+    for degree in (1, 2, 3, 5):
+        frame = spark.createDataFrame([(Vectors.dense(x),)], ["v"])
+        want = PolynomialExpansion(degree=degree, inputCol="v", outputCol="e").transform(frame).first()["e"].toArray()
+        assert np.allclose(np.prod(x ** _exponents(4, degree), axis=1), want)
+    assert len(_exponents(80, 2)) == 3320

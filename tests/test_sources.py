@@ -26,3 +26,18 @@ def test_staged_table_is_read_from_files(spark):
     staged = stage(df)
     assert staged.inputFiles() and sorted(staged.collect()) == sorted(df.collect())
     assert staged.schema == df.schema or [f.name for f in staged.schema] == df.columns
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    from panelwright.sources.csv import read_csv, write_csv
+
+    path = tmp_path / "quoted.csv"
+    path.write_text('name,n\n"the ""Front"" party",1\n"two\nlines",2\nNA,3\n')
+    got = {r.n: r.name for r in read_csv(spark, str(path), line_breaks=True).collect()}
+    assert got == {1: 'the "Front" party', 2: "two\nlines", 3: None}
+    out = str(tmp_path / "again")
+    rows = [('a "b", c', 1), ("back\\slash", 2), (None, 3)]
+    write_csv(spark.createDataFrame(rows, "name string, n int"), out)
+    assert sorted((r.n, r.name) for r in read_csv(spark, out).collect()) == sorted((n, v) for v, n in rows)
+    raw = "".join(p.read_text() for p in (tmp_path / "again").glob("part-*"))
+    assert '"a ""b"", c"' in raw
