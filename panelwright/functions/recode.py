@@ -76,3 +76,8 @@ def overwrite_by_key(value, key, values: Mapping) -> Column:
         test = key == F.lit(k)
         out = F.when(test, F.lit(v)) if out is None else out.when(test, F.lit(v))
     return out.otherwise(value)
+
+
+def level_index(column, levels) -> Column:
+    """Zero-based place of a value in an ordered list of levels; NULL for others."""
+    return recode(column, {level: i for i, level in enumerate(levels)}).cast("long")

@@ -32,6 +32,25 @@ def count_split(df: DataFrame, condition: Column, no: str, yes: str) -> DataFram
     )
 
 
+def nest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rows") -> DataFrame:
+    """One row per key with its rows as a list of structs, sorted by ``order``, then by the other columns.
+
+    A key's rows end up in one cell, so this is for groups that fit a row: the
+    periods of an entity, not the entities of a region.
+    """
+    rest = [c for c in df.columns if c not in set(keys) and c not in set(order)]
+    cell = F.array_sort(F.collect_list(F.struct(*order, *rest)))
+    return df.groupBy(*keys).agg(cell.alias(name))
+
+
+def unnest_rows(df: DataFrame, keys: Sequence[str], name: str = "rows", position: str | None = None) -> DataFrame:
+    """The rows of the lists again, with their one-based ``position`` if that is named."""
+    if position is None:
+        return df.select(*keys, F.inline(name))
+    placed = df.select(*keys, F.posexplode(name).alias("_at", "_row"))
+    return placed.select(*keys, (F.col("_at") + 1).cast("long").alias(position), "_row.*")
+
+
 def unnest_parallel(df: DataFrame, keys: Sequence[str], lists: Sequence[str]) -> DataFrame:
     """One row per position of several equally long list columns."""
     zipped = F.arrays_zip(*[F.col(c) for c in lists])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.recode import recode
+from ..functions.recode import level_index, recode
 from ..operators.columns import complete_rows
 from ..operators.rollup import action_flags, roll_up
 from ..sources.tables import read_table
@@ -16,6 +16,9 @@ TOTALS = {"total_measure": "measure_cents", "total_actions": "n_actions", "total
 # The segment codes.
 SEGMENT_CODES = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
 
+# The order of outcome levels: the positive one first.
+POSITIVE_FIRST = ["Yes", "No"]
+
 PREDICTORS = [
     "active_years", "total_measure", "segment_code", "region_code", "wealth", "n_lines",
     "avg_qty", "avg_disc_pct", "avg_tax_pct", "returned_share", "open_share", "n_suppliers",
@@ -121,6 +124,17 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumn("segment_code", recode("segment", SEGMENT_CODES))
 
 
+def with_labels(df: DataFrame) -> DataFrame:
+    """Both outcomes as labels and as codes with the positive level first."""
+    flags = {"action": "action_flag", "unanimous": "unanimous_flag"}
+    labels = {
+        f"{name}_label": F.when(F.col(flag) == 0, "No").when(F.col(flag) != 0, "Yes") for name, flag in flags.items()
+    }
+    return df.withColumns(labels).withColumns(
+        {f"{name}_level": level_index(f"{name}_label", POSITIVE_FIRST) for name in flags}
+    )
+
+
 def model_data(spark: SparkSession, folder: str) -> DataFrame:
     """Complete rows with a Yes/No outcome."""
     complete = complete_rows(features(spark, folder), ["total_measure", "segment", "wealth"])

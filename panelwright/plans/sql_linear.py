@@ -128,6 +128,30 @@ q AS (SELECT cv.i, cv, sqrt(sum(n * (e - cv) * (e - cv)) / sum(n) / (count(*) -
       FROM cv JOIN e ON e.i = cv.i GROUP BY cv.i, cv)"""
 
 
+def lasso_folds(terms: int, low: float, high: float, length: int, sweeps: int = 100) -> str:
+    """The same as ``ridge_folds`` for the lasso, by coordinate descent in every fold and for every penalty."""
+    stats = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(terms))
+    r = _list([_list([f"corr(x{i}, x{j})" for j in range(terms)]) for i in range(terms)])
+    v = _list([f"corr(x{i}, y)" for i in range(terms)])
+    rest = "(v[a] - list_dot_product(r[a], b) + r[a][a] * b[a])"
+    fitted = " + ".join(f"b[{i + 1}] * (x{i} - a{i}) / s{i}" for i in range(terms))
+    return f"""
+k AS (SELECT DISTINCT fold FROM x),
+st AS (SELECT k.fold, avg(y) AS my, stddev_pop(y) AS sy, {stats}, {r} AS r, {v} AS v
+       FROM k JOIN x ON x.fold <> k.fold GROUP BY k.fold),
+g AS (SELECT i, pow(10, {low} + ({high} - {low}) * i / {length - 1}.0) AS g FROM range({length}) t(i)),
+cd AS (SELECT 0 AS step, fold, i, g / sy AS pull, {_list(["0.0::DOUBLE"] * terms)} AS b FROM st, g
+       UNION ALL SELECT step + 1, cd.fold, i, pull, list_transform(b, lambda old, a: CASE WHEN a = step % {terms} + 1
+         THEN sign({rest}) * greatest(abs({rest}) - pull, 0) ELSE old END)
+       FROM cd JOIN st ON cd.fold = st.fold WHERE step < {sweeps * terms}),
+fit AS (SELECT fold, i, b FROM cd WHERE step = {sweeps * terms}),
+e AS (SELECT fit.i, fit.fold, count(*) AS n, avg(pow(y - my - sy * ({fitted}), 2)) AS e
+      FROM fit JOIN st ON st.fold = fit.fold JOIN x ON x.fold = fit.fold GROUP BY fit.i, fit.fold),
+cv AS (SELECT i, sum(n * e) / sum(n) AS cv FROM e GROUP BY i),
+q AS (SELECT cv.i, cv, sqrt(sum(n * (e - cv) * (e - cv)) / sum(n) / (count(*) - 1)) AS se
+      FROM cv JOIN e ON e.i = cv.i GROUP BY cv.i, cv)"""
+
+
 def logistic(terms: int, train: str, rounds: int = 10) -> str:
     """From ``x``: scaled rows ``z`` and, after reweighted least squares, ``logit(m)`` with the solution last."""
     size = terms + 1

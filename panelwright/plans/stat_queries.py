@@ -340,9 +340,18 @@ def q_ridge_cv(spark, folder):
     })
 
 
-@query("lasso_cv")
+@query("lasso_cv", "+" + sql_linear.scaled_rows("train", "total_measure / 1e6", VIF_TERMS, ["fold"]) + ","
+       + sql_linear.lasso_folds(len(VIF_TERMS), *codes.LASSO_GRID) + """,
+best AS (SELECT min(cv) AS low, arg_min(cv + se, cv) AS line FROM q)
+SELECT q.i AS grid_index, round(-3 + 6 * q.i / 199.0, 6) AS log_penalty, round(cv, 4) AS cv_error, round(se, 4) AS cv_se,
+       q.i = (SELECT max(i) FROM q, best WHERE cv <= low) AS is_min,
+       q.i = (SELECT max(i) FROM q, best WHERE cv <= line) AS is_one_se
+FROM q""", views=SPLIT_VIEWS, recursive=True)
 def q_lasso_cv(spark, folder):
-    return _path(spark, folder, 1, codes.LASSO_GRID)
+    out = _path(spark, folder, 1, codes.LASSO_GRID)
+    return out.withColumns({
+        "log_penalty": F.round("log_penalty", 6), "cv_error": F.round("cv_error", 4), "cv_se": F.round("cv_se", 4)
+    })
 
 
 LASSO_PENALTIES = [0.5, 2.0, 10.0]
