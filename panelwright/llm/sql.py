@@ -5,7 +5,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body),
 h AS (SELECT p.page_id, octet_length(encode(p.body)) AS n, sha1(p.body) AS hex, f.first FROM p JOIN f ON p.body = f.body)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
          ((16 * (instr('0123456789abcdef', substr(hex, CAST(5 * k // 4 AS INTEGER) + 1, 1)) - 1)
              + (instr('0123456789abcdef', substr(hex, CAST(5 * k // 4 AS INTEGER) + 2, 1)) - 1))
           // CAST(pow(2, 3 - 5 * k % 4) AS BIGINT)) % 32) AS INTEGER), 1)), '') AS payload_digest,
@@ -40,7 +40,7 @@ DUPLICATES = rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 single AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
 shared AS (
   SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS c FROM single x JOIN single y
@@ -69,7 +69,7 @@ hits AS (
   FROM (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS gram FROM places) p
   JOIN windows x ON p.gram = x.gram AND p.size = x.size),
 covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS at FROM hits) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY doc_id),
 met AS (
   SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
