@@ -19,8 +19,8 @@ from .minhash import _mix
 WORD_BUCKETS, PAIR_BUCKETS, FORM_BUCKETS = 1 << 14, 1 << 14, 1 << 12
 #: At most this many labelled documents teach the target and the share to keep (the first ones in hash order).
 LABELLED_SAMPLE = 20_000
-#: Mass added to every bucket of both models, as a share of the uniform distribution over a million n-grams.
-SMOOTHING = 1_000_000
+#: Counts added to every bucket of the target and of the raw model.
+PRIOR = 20.0
 #: Scale of the Gumbel noise against the log weights; 1 samples in proportion to the weights.
 TEMPERATURE = 1.0
 REMEMBERED_WORDS = 1_000_000
@@ -77,15 +77,17 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability per bucket, each section a distribution of its own."""
+    """Log of target over raw probability per bucket, each section a distribution of its own.
+
+    Raw counts are brought to the total of the target's, then both get ``PRIOR``
+    more per bucket: n-grams too rare to tell anything weigh next to nothing, so a
+    document that taught the target is not preferred to one that did not.
+    """
     out = np.zeros(BUCKETS)
     for a, b in zip(_SECTIONS, _SECTIONS[1:]):
         t, r = target[a:b].astype(float), raw[a:b].astype(float)
         if t.sum() and r.sum():
-            # The same pseudo-count per bucket after scaling both to one total.
-            add = 1.0 / (b - a)
-            t, r = t / t.sum() * min(t.sum(), SMOOTHING) + add, r / r.sum() * min(t.sum(), SMOOTHING) + add
-            out[a:b] = np.log(t / t.sum()) - np.log(r / r.sum())
+            out[a:b] = np.log((t + PRIOR) / (r * (t.sum() / r.sum()) + PRIOR))
     return out
 
 
@@ -101,24 +103,27 @@ def gumbel_key(weight: float, doc_id, text: str | None, temperature: float) -> f
 
 
 def labelled_sample(labels: DataFrame, rows: int = LABELLED_SAMPLE) -> DataFrame:
-    """(doc_id, good) of at most ``rows`` labelled documents, the first in hash order.
+    """(doc_id, good, teaches) of at most ``rows`` labelled documents, the first in hash order.
 
-    Rows without id or label count for nothing; an id with several labels is good
-    if all say so.
+    Half of them teach the target model, the others settle the cut, since a
+    document weighs more in a model that it taught. Rows without id or label count
+    for nothing; an id with several labels is good if all say so.
     """
     return (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.min("quality") >= 1).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        .withColumn("teaches", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0)
     )
 
 
 def count_ngrams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of the good sample and of all documents by bucket.
+    """N-grams of the good documents that teach and of all documents by bucket.
 
     Each task adds up its own documents and hands on one row per bucket that it
     met; what reaches the driver has ``BUCKETS`` rows.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left")
+    teachers = F.broadcast(sample.where("good and teaches"))  # at most the rows of the sample
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(teachers, "doc_id", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -191,13 +196,16 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     nothing is selected.
 
     k is the number of documents on the good side of the cut that serves the
-    labelled sample best; the k rows with the largest Gumbel keys are selected.
+    held-out half of the labelled sample best; the k rows with the largest Gumbel keys are selected.
     """
     ship_package(docs.sparkSession)
     sample = stage(labelled_sample(labels, sample_rows), "labelled")
     ratios = log_ratios(*count_ngrams(docs, sample))
     scored = stage(scores(docs, ratios, temperature), "scores")
-    judged = scored.join(F.broadcast(sample), "doc_id").select("log_weight", "good").limit(2 * sample_rows).collect()
+    judged = (
+        scored.join(F.broadcast(sample.where("not teaches")), "doc_id").groupBy("doc_id")
+        .agg(F.min("log_weight").alias("log_weight"), F.first("good").alias("good")).collect()
+    )  # at most the rows of the sample
     cut = best_cut(np.array([r["log_weight"] for r in judged]), np.array([r["good"] for r in judged], dtype=bool))
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     ordered = add_row_id(
