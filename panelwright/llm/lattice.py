@@ -125,19 +125,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+#: Rows of a cell that meet all others in one step.
+_ROWS = 64
+
+
 class _Cell:
-    """The rows of one bucket, or of two blocks of one, on their way to a comparison."""
-
-    def __init__(self, rows: list[dict], least: float, stored: str):
-        rows.sort(key=lambda r: r["node"])
-        self.node = np.array([r["node"] for r in rows], dtype=np.int64)
-        self.copies = np.array([r["copies"] for r in rows], dtype=np.int64)
-        self.own = np.array([r["own"] for r in rows], dtype=bool)
-        self.block = np.array([r["block"] for r in rows])
-        vectors = np.array([np.frombuffer(r["vector"], stored) for r in rows], dtype=np.float64)
+    """The rows of one bucket, or of two blocks of one, as arrays in the order of their nodes."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], least: float, stored: str):
+        columns = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+        order = np.argsort(columns["node"], kind="stable")
+        columns = {name: values[order] for name, values in columns.items()}
+        self.node, self.copies, self.own = columns["node"], columns["copies"], columns["own"]
+        self.block, self.homes = columns["block"], columns["homes"]
+        self.others = columns["others"].reshape(*self.homes.shape, -1)
+        vectors = np.array([np.frombuffer(v, stored) for v in columns["vector"]], dtype=np.float64)
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.homes = np.array([r["homes"] for r in rows], dtype=np.int64)
-        self.others = np.array([r["others"] for r in rows], dtype=np.int64).reshape(len(rows), self.homes.shape[1], -1)
         self.least = least
 
     def compare(self, key: int, across: bool) -> pa.RecordBatch | None:
@@ -146,23 +149,23 @@ class _Cell:
         A pair meets in every cell that one of the two has as its own and the other
         visits. Its link is counted only in the first of them: the first table in
         which it meets, and there the own cell of the smaller node if the other
-        visits that.
+        visits that. A few rows at a time meet all others, so a dense cell holds
+        neither its pairs nor their keys.
         """
         n = len(self.node)
-        links, pairs_a, pairs_b = np.zeros(n, dtype=np.int64), [], []
-        for start in range(0, n, 256):
-            rows = np.arange(start, min(n, start + 256))
+        links, root = np.zeros(n, dtype=np.int64), np.arange(n)
+        for start in range(0, n, _ROWS):
+            rows = np.arange(start, min(n, start + _ROWS))
             near = self.unit[rows] @ self.unit.T >= self.least
             near &= rows[:, None] < np.arange(n)[None, :]
             near &= self.own[rows][:, None] | self.own[None, :]
             if across:
                 near &= self.block[rows][:, None] != self.block[None, :]
             a, b = np.nonzero(near)
-            a = rows[a]
             if not len(a):
                 continue
-            pairs_a.append(a)
-            pairs_b.append(b)
+            a = rows[a]
+            root = _roots(n, np.concatenate([np.arange(n), a]), np.concatenate([root, b]))
             low = (self.homes[a] == self.homes[b]) | (self.homes[a][:, :, None] == self.others[b]).any(axis=2)
             high = (self.homes[b][:, :, None] == self.others[a]).any(axis=2)
             first = (low | high).argmax(axis=1)
@@ -170,31 +173,48 @@ class _Cell:
             here = np.where(low[at, first], self.homes[a, first], self.homes[b, first]) == key
             np.add.at(links, a[here], self.copies[b[here]])
             np.add.at(links, b[here], self.copies[a[here]])
-        if not pairs_a:
+        told = (links > 0) | (root != np.arange(n))
+        if not told.any():
             return None
-        root = self.node[_roots(n, np.concatenate(pairs_a), np.concatenate(pairs_b))]
-        told = (links > 0) | (root != self.node)
-        return pa.RecordBatch.from_pydict({"node": self.node[told], "links": links[told], "root": root[told]})
+        return pa.RecordBatch.from_pydict({"node": self.node[told], "links": links[told], "root": self.node[root][told]})
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of a batch as arrays; the key lists have one length each."""
+    n = batch.num_rows
+    out = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "p", "q", "node", "own", "block", "copies")}
+    out["own"] = out["own"].astype(bool)
+    for name in ("homes", "others"):
+        out[name] = batch.column(name).flatten().to_numpy().reshape(n, -1)
+    vectors = np.empty(n, dtype=object)
+    vectors[:] = batch.column("vector").to_pylist()
+    return out | {"vector": vectors}
 
 
 def _compared(cells: DataFrame, least: float, stored: str) -> DataFrame:
     """Compare within cells; the rows of a cell lie one after the other in its task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, parts = None, []
 
         def finish():
-            return _Cell(rows, least, stored).compare(at[0], at[1] != at[2]) if len(rows) > 1 else None
+            if sum(len(part["node"]) for part in parts) > 1:
+                return _Cell(parts, least, stored).compare(at[0], at[1] != at[2])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                where = (row["key"], row["p"], row["q"])
+            if not batch.num_rows:
+                continue
+            columns = _arrays(batch)
+            places = np.stack([columns["key"], columns["p"], columns["q"]], axis=1)
+            cuts = np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(places)]):
+                where = tuple(places[start].tolist())
                 if where != at:
-                    if rows and (out := finish()):
+                    if parts and (out := finish()):
                         yield out
-                    at, rows = where, []
-                rows.append(row)
-        if rows and (out := finish()):
+                    at, parts = where, []
+                parts.append({name: values[start:end] for name, values in columns.items()})
+        if parts and (out := finish()):
             yield out
 
     return cells.mapInArrow(work, "node long, links long, root long")
