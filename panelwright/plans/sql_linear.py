@@ -128,7 +128,7 @@ q AS (SELECT cv.i, cv, sqrt(sum(n * (e - cv) * (e - cv)) / sum(n) / (count(*) -
       FROM cv JOIN e ON e.i = cv.i GROUP BY cv.i, cv)"""
 
 
-def lasso_folds(terms: int, low: float, high: float, length: int, sweeps: int = 100) -> str:
+def lasso_folds(terms: int, low: float, high: float, length: int, sweeps: int = 300) -> str:
     """The same as ``ridge_folds`` for the lasso, by coordinate descent in every fold and for every penalty."""
     stats = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(terms))
     r = _list([_list([f"corr(x{i}, x{j})" for j in range(terms)]) for i in range(terms)])
@@ -152,6 +152,40 @@ q AS (SELECT cv.i, cv, sqrt(sum(n * (e - cv) * (e - cv)) / sum(n) / (count(*) -
       FROM cv JOIN e ON e.i = cv.i GROUP BY cv.i, cv)"""
 
 
+def penalised(terms: int, rows: str, train: str, ridge: tuple, lasso: tuple, sweeps: int = 300) -> str:
+    """``fits(method, b)``: ridge and lasso on all training rows at both customary penalties, in scaled units.
+
+    ``rows`` defines ``x`` with a ``fold`` (NULL for hold-out rows) and ``train`` is
+    the condition for training rows.
+    """
+    stats = ", ".join(f"avg(x{i}) AS a{i}, stddev_pop(x{i}) AS s{i}" for i in range(terms))
+    r = _list([_list([f"corr(x{i}, x{j})" for j in range(terms)]) for i in range(terms)])
+    v = _list([f"corr(x{i}, y)" for i in range(terms)])
+    rest = "(v[a] - list_dot_product(r[a], b) + r[a][a] * b[a])"
+    curves, choices = [], []
+    for name, (low, high, length), views in (
+        ("ridge", ridge, ridge_folds(terms, *ridge)), ("lasso", lasso, lasso_folds(terms, *lasso)),
+    ):
+        curves.append(f"{name}_q AS (WITH RECURSIVE all_{rows}, x AS (SELECT * FROM all_x WHERE {train}), {views} SELECT i, cv, se FROM q)")
+        penalty = f"pow(10, {low} + ({high} - {low}) * max(i) / {length - 1}.0)"
+        choices += [
+            f"SELECT '{name}_min' AS method, {penalty} AS g FROM {name}_q WHERE cv <= (SELECT min(cv) FROM {name}_q)",
+            f"SELECT '{name}_1se', {penalty} FROM {name}_q WHERE cv <= (SELECT arg_min(cv + se, cv) FROM {name}_q)",
+        ]
+    return ",\n".join([
+        *curves, "chosen AS (" + " UNION ALL ".join(choices) + ")", rows,
+        f"st AS (SELECT avg(y) AS my, stddev_pop(y) AS sy, {stats}, {r} AS r, {v} AS v FROM x WHERE {train})",
+        "normal AS (SELECT method, list_transform(r, lambda line, a: list_append(list_transform(line, lambda w, c: "
+        "CASE WHEN a = c THEN w + g / sy ELSE w END), v[a])) AS m FROM st, chosen WHERE method LIKE 'ridge%')",
+        eliminate("normal", ["method"], terms, "solved"),
+        f"""cd AS (SELECT 0 AS step, method, g / sy AS pull, {_list(["0.0::DOUBLE"] * terms)} AS b FROM st, chosen WHERE method LIKE 'lasso%'
+       UNION ALL SELECT step + 1, method, pull, list_transform(b, lambda old, a: CASE WHEN a = step % {terms} + 1
+         THEN sign({rest}) * greatest(abs({rest}) - pull, 0) ELSE old END) FROM cd, st WHERE step < {sweeps * terms})""",
+        f"fits AS (SELECT method, {_list([f'm[{i + 1}][{terms + 1}]' for i in range(terms)])} AS b FROM solved "
+        f"UNION ALL SELECT method, b FROM cd WHERE step = {sweeps * terms})",
+    ])
+
+
 def logistic(terms: int, train: str, rounds: int = 10) -> str:
     """From ``x``: scaled rows ``z`` and, after reweighted least squares, ``logit(m)`` with the solution last."""
     size = terms + 1

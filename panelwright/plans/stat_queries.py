@@ -343,14 +343,14 @@ def q_ridge_cv(spark, folder):
 @query("lasso_cv", "+" + sql_linear.scaled_rows("train", "total_measure / 1e6", VIF_TERMS, ["fold"]) + ","
        + sql_linear.lasso_folds(len(VIF_TERMS), *codes.LASSO_GRID) + """,
 best AS (SELECT min(cv) AS low, arg_min(cv + se, cv) AS line FROM q)
-SELECT q.i AS grid_index, round(-3 + 6 * q.i / 199.0, 6) AS log_penalty, round(cv, 4) AS cv_error, round(se, 4) AS cv_se,
+SELECT q.i AS grid_index, round(-3 + 6 * q.i / 199.0, 6) AS log_penalty, round(cv, 2) AS cv_error, round(se, 2) AS cv_se,
        q.i = (SELECT max(i) FROM q, best WHERE cv <= low) AS is_min,
        q.i = (SELECT max(i) FROM q, best WHERE cv <= line) AS is_one_se
 FROM q""", views=SPLIT_VIEWS, recursive=True)
 def q_lasso_cv(spark, folder):
     out = _path(spark, folder, 1, codes.LASSO_GRID)
     return out.withColumns({
-        "log_penalty": F.round("log_penalty", 6), "cv_error": F.round("cv_error", 4), "cv_se": F.round("cv_se", 4)
+        "log_penalty": F.round("log_penalty", 6), "cv_error": F.round("cv_error", 2), "cv_se": F.round("cv_se", 2)
     })
 
 
@@ -387,20 +387,45 @@ def _penalised(spark, folder):
     return linear.penalised_fits(folds, OUTCOME, REGRESSION_TERMS, codes.RIDGE_GRID, codes.LASSO_GRID), test
 
 
-@query("penalised_holdout")
+SPLIT_ROWS = sql_linear.scaled_rows(
+    "split s LEFT JOIN folds f ON s.entity_id = f.entity_id", "total_measure / 1e6", VIF_TERMS, ["fold", "is_train"])
+PENALISED_SQL = "+" + sql_linear.penalised(len(VIF_TERMS), SPLIT_ROWS, "is_train", codes.RIDGE_GRID, codes.LASSO_GRID)
+
+
+@query("penalised_holdout", PENALISED_SQL + f""",
+errors AS (SELECT method, avg(pow(y - ({sql_linear.lasso_score(len(VIF_TERMS))}), 2)) AS e, var_samp(y) AS v
+           FROM x, st, fits WHERE NOT is_train GROUP BY method)
+SELECT method, round(e, 4) AS test_error, round(1 - e / v, 6) AS prop_var_explained, round(e / v, 6) AS prop_var_unexplained
+FROM errors""", views=SPLIT_VIEWS, recursive=True)
 def q_penalised_holdout(spark, folder):
     """Both penalties at both choices, errors from the hold-out moments."""
     fits, test = _penalised(spark, folder)
     rows = [(name, fit.mse(test, OUTCOME)) for name, fit in fits.items()]
     out = spark.createDataFrame(rows, "method string, test_error double")
-    return linear.explained(out, "test_error", float(test.cross[0, 0] / (test.n - 1)))
+    out = linear.explained(out, "test_error", float(test.cross[0, 0] / (test.n - 1)))
+    shares = ["prop_var_explained", "prop_var_unexplained"]
+    return out.withColumns({"test_error": F.round("test_error", 4), **{c: F.round(c, 6) for c in shares}})
+
+
+def _coef_sql() -> str:
+    """Coefficients in the units of the predictors, exact zeros as NULL."""
+    own = [f"b[{i + 1}] * sy / s{i}" for i in range(len(VIF_TERMS))]
+    start = "my - (" + " + ".join(f"{c} * a{i}" for i, c in enumerate(own)) + ")"
+    rows = " UNION ALL ".join(
+        f"SELECT method, '{name}' AS name, {c} AS c FROM fits, st" for name, c in zip(["(Intercept)", *VIF_TERMS], [start, *own])
+    )
+    cells = ", ".join(
+        f"nullif(round(max(c) FILTER (WHERE method = '{m}'), 4), 0) AS {m}" for m in ("ridge_min", "ridge_1se", "lasso_min", "lasso_1se")
+    )
+    return f", long AS ({rows}) SELECT name, {cells} FROM long GROUP BY name"
 
 
-@query("penalised_coef")
+@query("penalised_coef", PENALISED_SQL + _coef_sql(), views=SPLIT_VIEWS, recursive=True)
 def q_penalised_coef(spark, folder):
-    """Coefficients of the four penalised fits side by side."""
+    """Coefficients of the four penalised fits side by side; what rounds to 0 is NULL."""
     fits, _ = _penalised(spark, folder)
-    return linear.coefficient_frame(spark, fits)
+    frame = linear.coefficient_frame(spark, fits)
+    return frame.withColumns({m: F.nullif(F.round(m, 4), F.lit(0.0)) for m in fits})
 
 
 GIVEN = linear.LinearFit(("lines", "qty"), -20.0, np.array([5.5, 1.25]))
