@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (a, b) with a > b."""
+def star_step(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on edges (a, b) with a > b; what was connected stays connected."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("n")).union(edges.select("b", "a"))
     least = both.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("u", "m").alias("m"))
     large = both.where("n > u").join(least, "u").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
@@ -38,5 +38,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(found) == mark or not found[0]:
             break
         mark = tuple(found)
-        edges = stage(_stars(edges), "links")
+        edges = stage(star_step(edges), "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

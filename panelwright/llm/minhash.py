@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
 from .files import ship_package
-from .graph import connected_components
+from .graph import connected_components, star_step
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 24, 6
 #: Links have 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Centres a bucket tries in the first round; each round doubles them.
-FIRST_CENTRES = 4
+#: Centres a bucket tries in the first round; with each round there are so many times as many.
+FIRST_CENTRES, MORE_CENTRES = 8, 8
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED_WORDS = 1_000_000
 
@@ -156,11 +156,13 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     that belong to another component so far and were not centres before. Copies
     collapse into one component after the first centres, so they are never
     compared all with all; a bucket in one component is done. Where texts differ,
-    the rounds go on until every pair of a bucket has met or is connected.
+    the rounds go on until every pair of a bucket has met or is connected. Between
+    rounds a few star steps tell most of what is connected; that is only to save
+    comparisons, so they need not come to an end.
     """
-    now, links, done = buckets.withColumn("component", F.col("node")), None, 0.0
+    now, edges, done = buckets.withColumn("component", F.col("node")), None, 0
     while True:
-        reach = 2 * done + FIRST_CENTRES
+        reach = MORE_CENTRES * done + FIRST_CENTRES
         open_members = now.where(F.col("u") * F.col("size") >= done)
         centres = open_members.where(F.col("u") * F.col("size") < reach).select(
             "key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component")
@@ -170,15 +172,16 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
         ).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
         found = stage(_verified(pairs, sets, threshold), "pairs")
-        links = found if links is None else links.union(found)
-        labels = stage(connected_components(links), "labels")
+        edges = found if edges is None else edges.union(found)
+        edges = stage(star_step(star_step(edges)), "stars")
+        labels = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
         left = now.where(F.col("size") > reach).drop("component").join(labels, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
         split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         now, done = stage(left.join(split.select("key"), "key", "left_semi"), "buckets"), reach
         if now.isEmpty():
-            return labels
+            return connected_components(edges)
 
 
 def near_duplicates(
