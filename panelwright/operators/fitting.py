@@ -39,10 +39,13 @@ def assemble(df: DataFrame, terms: Sequence[str], out: str = FEATURES) -> DataFr
 
 def prepare(
     df: DataFrame, row_id: str, columns: Sequence[str], folds: int = 10, fraction: float = 0.70,
-    seed: int = DEFAULT_SEED,
+    seed: int = DEFAULT_SEED, path_folds: int = 10,
 ) -> DataFrame:
     """The modelling table: complete rows, an exact training split and folds of it.
 
+    ``fold`` serves methods that are fitted anew for every fold, ``path_fold`` the
+    penalty paths, whose folds cost nothing.
+
     The rows are staged once, together with their draws; split and folds are
     then comparisons of a stored number, so nothing is hashed or written again.
     Test rows have no fold.
@@ -50,8 +53,11 @@ def prepare(
     draws = {"_split": draw(row_id, "split", seed), "_fold": draw(row_id, "fold", seed)}
     table = stage(df.select(row_id, *columns).dropna("any").withColumns(draws), "model")
     table = exact_split(table, row_id, fraction, seed, hashed=F.col("_split"))
-    fold = fold_column(table.where("is_train"), row_id, folds, seed, hashed=F.col("_fold"))
-    return table.withColumn("fold", F.when(F.col("is_train"), fold)).drop("_split", "_fold")
+    marks = {
+        name: F.when(F.col("is_train"), fold_column(table.where("is_train"), row_id, k, seed, hashed=F.col("_fold")))
+        for name, k in (("fold", folds), ("path_fold", path_folds))
+    }
+    return table.withColumns(marks).drop("_split", "_fold")
 
 
 def train_rows(df: DataFrame) -> DataFrame:

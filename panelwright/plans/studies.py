@@ -186,7 +186,7 @@ def polynomial_svm(s: Study):
 
 def penalised_errors(s: Study, ridge: tuple, lasso: tuple) -> dict[str, float]:
     """Hold-out squared errors of ridge and lasso at both penalty choices."""
-    folds, test = linear.split_moments(s.table, s.outcome, s.terms)
+    folds, test = linear.split_moments(s.table, s.outcome, s.terms, fold="path_fold")
     fits = linear.penalised_fits(folds, s.outcome, s.terms, ridge, lasso)
     return {name: fit.mse(test, s.outcome) for name, fit in fits.items()}
 
@@ -217,7 +217,7 @@ def classification(s: Study) -> DataFrame:
 
 def regression(s: Study) -> DataFrame:
     """Leaderboard of all regressions with their shares of explained variance."""
-    folds, test = linear.split_moments(s.table, s.outcome, s.terms)
+    folds, test = linear.split_moments(s.table, s.outcome, s.terms, fold="path_fold")
     rows = [("ols_model", linear.ols(total(folds), s.outcome, s.terms).mse(test, s.outcome))]
     fits = linear.penalised_fits(folds, s.outcome, s.terms, codes.RIDGE_GRID, codes.LASSO_GRID)
     rows += [(m, fits[m].mse(test, s.outcome)) for m in ("ridge_min", "lasso_min")]
