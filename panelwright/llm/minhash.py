@@ -19,7 +19,7 @@ BANDS, ROWS = 24, 6
 #: Links have 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 #: Centres a bucket tries in the first round; with each round there are so many times as many.
-FIRST_CENTRES, MORE_CENTRES = 8, 8
+FIRST_CENTRES, MORE_CENTRES = 2, 8
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED_WORDS = 1_000_000
 
@@ -150,26 +150,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
-    ``buckets`` has (key, node, n, size, u): every member of every bucket with the
-    size of its set, the size of the bucket and the node's hash in [0, 1). In each
-    round a growing share of a bucket's members are centres and meet those members
-    that belong to another component so far and were not centres before. Copies
-    collapse into one component after the first centres, so they are never
-    compared all with all; a bucket in one component is done. Where texts differ,
-    the rounds go on until every pair of a bucket has met or is connected. Between
-    rounds a few star steps tell most of what is connected; that is only to save
-    comparisons, so they need not come to an end.
+    ``buckets`` has (key, node, n, shared, size, u): every member of every bucket
+    with the size of its set, how many of its shingles any other compared set has,
+    the size of the bucket and the node's hash in [0, 1). In each round a growing
+    share of a bucket's members are centres, in the first one also the member with
+    the fewest shingles of its own, which as a rule is what the others were copied
+    from. Centres meet those members that belong to another component so far and
+    were not centres before. Copies collapse into one component after the first
+    centres, so they are never compared all with all; a bucket in one component is
+    done. Where texts differ, the rounds go on until every pair of a bucket has met,
+    is connected or can't be similar: an intersection is no larger than either
+    side's ``shared``. Between rounds a few star steps tell most of what is
+    connected; that is only to save comparisons, so they need not come to an end.
     """
+    origin = buckets.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("shared"), "u", "node"))["node"].alias("origin"))
     now, edges, done = buckets.withColumn("component", F.col("node")), None, 0
     while True:
         reach = MORE_CENTRES * done + FIRST_CENTRES
         open_members = now.where(F.col("u") * F.col("size") >= done)
-        centres = open_members.where(F.col("u") * F.col("size") < reach).select(
-            "key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component")
+        chosen = open_members.where(F.col("u") * F.col("size") < reach)
+        if not done:
+            first = now.join(origin, (now["key"] == origin["key"]) & (now["node"] == origin["origin"]), "left_semi")
+            chosen = chosen.union(first).distinct()
+        centres = chosen.select(
+            "key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("shared").alias("c_shared"),
+            F.col("component").alias("c_component"),
         )
         pairs = open_members.join(centres, "key").where(
             (F.col("component") != F.col("c_component"))
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
+            & ((100 + threshold) * F.least("shared", "c_shared") >= threshold * (F.col("n") + F.col("c_n")))
         ).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
         found = stage(_verified(pairs, sets, threshold), "pairs")
         edges = found if edges is None else edges.union(found)
@@ -219,6 +229,14 @@ def near_duplicates(
     sets = stage(
         shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
     )
+    holders = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")
+    )
+    alone = holders.where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    buckets = stage(
+        buckets.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"),
+        "buckets",
+    )
     components = _components(buckets, sets, threshold)
     marked = groups.join(components, "node", "left").where("copies > 1 or component is not null").select(
         "set_key", F.coalesce("component", "node").alias("component")
