@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import new_path
+from ..session import new_path, stage
 from .files import new_file, open_random, ship_package
 from .tokens import encoder
 
@@ -38,10 +38,14 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) ->
     """A dictionary from the serialized ids of a bounded sample: the first
     ``SAMPLE_DOCUMENTS`` documents in the order of a hash of their ids. Empty if
     the table is too small to train on."""
-    sample = (
-        docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
-        .where("text is not null").orderBy("h", "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
+    # Ids first: texts of a top-k would be gathered from every task.
+    chosen = stage(
+        docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS), "sample",
     )
+    text = F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")
+    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"))
+    sample = rows.orderBy("doc_id").collect()  # at most SAMPLE_DOCUMENTS rows
     encode = encoder(vocabulary).encode
     end = np.array([end_id], dtype="<u4").tobytes()
     samples = [encode(row["text"]) + end for row in sample]
