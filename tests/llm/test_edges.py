@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelwright.llm import (
     decontaminate, lattice, minhash, packing, pii, quality, secrets, token_counts, token_store, warc,
 )
@@ -194,6 +195,20 @@ def test_one_row_of_each_group_stays(docs, empty):
     assert minhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_links_start_at_eighty(spark):
+    """Copies with 0.81 and 0.79 of their shingles in common: the operator and the stage drop the first only."""
+    words = [f"w{i}" for i in range(200)]
+    near, far = words[:180] + [f"x{i}" for i in range(20)], [f"y{i}" for i in range(23)] + words[23:]
+    rows = [(i, " ".join(w)) for i, w in enumerate([words, near, far])]
+    docs = table(spark, rows)
+    want = brute.near_duplicates(rows, 80)
+    assert [c for _, c in want.values()] == [0, 0, 2]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: c for i, (_, c) in want.items()}
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 2]
+    at_85 = minhash.near_duplicates(docs, threshold=85, bands=24).collect()
+    assert all(r.kept for r in at_85)
+
+
 BENCH = [
     (0, prose(4, 60)), (1, "two words"), (2, None), (3, ""), (None, prose(5, 200)[:300]), (4, prose(4, 60)), (10, prose(6, 30)),
     (5, "..."), (6, prose(6, 30)), (6, prose(5, 40)),
