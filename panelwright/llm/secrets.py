@@ -33,10 +33,6 @@ _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-# Names made of words: parts of letters, joined by marks or by a change of case, with a number at most at the end.
-_NAME = re.compile(
-    r"[A-Z]?[a-z]++(?:[_/+=-]++[A-Z]?[a-z]++|[A-Z][a-z]++)*+[_=-]*+[0-9]{0,4}|[A-Z]++(?:[_/+=-]++[A-Z]++)*+[_=-]*+[0-9]{0,4}"
-)
 _NUMBER = re.compile(r"[0-9/_=+-]+")
 
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: int, end: int>>"
@@ -58,10 +54,9 @@ def vocabulary(path: str):
 
 
 def known_string(text: str) -> bool:
-    """Digests, identifiers, numbers and names: long, yet no secrets."""
+    """Digests, identifiers and numbers: long, yet no secrets. Letters are left to the vocabulary."""
     return bool(
-        (len(text) in DIGEST_LENGTHS and _DIGEST.fullmatch(text)) or _UUID.fullmatch(text)
-        or _NAME.fullmatch(text) or _NUMBER.fullmatch(text)
+        (len(text) in DIGEST_LENGTHS and _DIGEST.fullmatch(text)) or _UUID.fullmatch(text) or _NUMBER.fullmatch(text)
     )
 
 
@@ -91,7 +86,7 @@ def find_spans(text: str | None, ranks_path: str, max_ratio: float = MAX_CHARS_P
 
     Pattern spans are leftmost and do not overlap within a kind. Strings of kind
     ``random`` overlap no pattern span: at least ``MIN_RANDOM`` characters, not a
-    known digest, identifier or name, and at most ``max_ratio`` characters a token.
+    known digest, identifier or number, and at most ``max_ratio`` characters a token.
     """
     if not text:
         return []

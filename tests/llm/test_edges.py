@@ -89,6 +89,15 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty, RANKS).count() == 0
 
 
+@pytest.mark.parametrize("text, found", [
+    ("qzxjvkwpghtrnbmdlfcysuxq", True), ("AQZXJVKWPGHTRNBMDLFC", True), ("xkqz-vbnw-pltr-qjhd-mzxc", True),
+    ("user_name_of_the_person", False), ("internationalization", False), ("getConnectionByCustomerName", False),
+    ("MAXIMUM_CONNECTION_LIMIT", False), ("2024-01-02_0123456789012", False),
+])
+def test_letters_are_judged_by_the_vocabulary(text, found):
+    assert secrets.find_spans(f"x {text} y", RANKS) == ([(2, 2 + len(text), "random")] if found else [])
+
+
 def test_personal_data(docs, empty):
     got = by_id(secrets.digest(pii.find_personal_data(docs), pii.BASE_KINDS).collect())
     for row, (doc_id, text) in zip(got, expected(docs), strict=True):
