@@ -18,6 +18,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Strings of the token-efficiency test: at least this long, at most this many characters a token.
 MIN_RANDOM = 20
 MAX_CHARS_PER_TOKEN = 2.0
+#: Letters of a word that is left off at the ends of such a string.
+MIN_WORD = 3
 #: Lengths of hexadecimal digests that are public by nature (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
@@ -33,6 +35,9 @@ _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+# Parts of a candidate: what stands between marks, with the marks before it; a UUID is one part.
+_PART = re.compile(r"[+/_=-]*+(?:(?<![A-Za-z0-9])%s(?![A-Za-z0-9])|[A-Za-z0-9]++)|[+/_=-]++" % _UUID.pattern.replace("(-", "(?:-"))
+_MARKS = "+/_=-"
 _NUMBER = re.compile(r"[0-9/_=+-]+")
 
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: int, end: int>>"
@@ -60,6 +65,84 @@ def known_string(text: str) -> bool:
     )
 
 
+def uncovered(runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of runs outside of spans; runs are in order and disjoint, spans sorted by start."""
+    i, done = 0, 0
+    for start, end in runs:
+        while i < len(spans) and spans[i][0] < end:
+            s, e = spans[i]
+            if s > max(start, done):
+                yield max(start, done), s
+            done, i = max(done, e), i + 1
+        if max(start, done) < end:
+            yield max(start, done), end
+
+
+def heavy_runs(scores: list[float]) -> Iterator[tuple[int, int]]:
+    """All maximal runs of the largest sums (Ruzzo and Tompa 1999), in linear time."""
+    runs, total = [], 0.0  # start, end, sum before, sum at the end, number of the last run with a smaller sum before
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        start = i
+        while True:
+            at = len(runs) - 1
+            while at >= 0 and runs[at][2] >= before:
+                at = runs[at][4]
+            if at < 0 or runs[at][3] >= total:
+                break
+            start, before = runs[at][0], runs[at][2]
+            del runs[at:]
+        runs.append((start, i + 1, before, total, at))
+    return ((run[0], run[1]) for run in runs)
+
+
+def random_spans(text: str, start: int, end: int, encoding, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """Spans of [start, end), a run of candidate characters, that the vocabulary can hardly shorten.
+
+    The whole run without words at its ends, or else those parts between marks,
+    alone or several in a row, that words joined to them would thin out.
+    """
+
+    def random(s: int, e: int) -> bool:
+        string = text[s:e]
+        return e - s >= MIN_RANDOM and not known_string(string) and e - s <= max_ratio * len(encoding.encode_ordinary(string))
+
+    if end - start < MIN_RANDOM or known_string(text[start:end]):
+        return
+    parts = [m.span() for m in _PART.finditer(text, start, end)]
+    if len(parts) < 2:
+        if random(start, end):
+            yield start, end
+        return
+
+    def core(first: int, last: int) -> tuple[int, int]:
+        e = parts[last - 1][1]
+        return e - len(text[parts[first][0]:e].lstrip(_MARKS)), e
+
+    scores = []
+    for s, e in parts:
+        part = text[s:e].lstrip(_MARKS) or text[s:e]  # marks before a part weigh nothing
+        if len(part) >= MIN_RANDOM and known_string(part):
+            scores.append(-float(end - start) * max(1.0, max_ratio))  # no run goes across
+        else:
+            score = max_ratio * len(encoding.encode_ordinary(part)) - len(part) * (1 - 1e-9)
+            scores.append(min(score, 0.0) if known_string(part) else score)
+    if random(start, end):
+        word = [s <= 0 and len(t := text[a:b].strip(_MARKS)) >= MIN_WORD and t.isalpha() for s, (a, b) in zip(scores, parts)]
+        first = next((i for i, w in enumerate(word) if not w), 0)
+        last = len(parts) - next((i for i, w in enumerate(reversed(word)) if not w), 0)
+        s, e = core(first, last) if first else (start, parts[last - 1][1])
+        yield (s, e) if random(s, e) else (start, end)
+        return
+    for first, last in heavy_runs(scores):
+        if random(*(span := core(first, last))):
+            yield span
+        else:
+            yield from (span for i in range(first, last) if random(*(span := core(i, i + 1))))
+
+
 def assignments(text: str) -> Iterator[tuple[int, int]]:
     """Spans of values given to a secret's name, found from their rare sign.
 
@@ -87,6 +170,8 @@ def find_spans(text: str | None, ranks_path: str, max_ratio: float = MAX_CHARS_P
     Pattern spans are leftmost and do not overlap within a kind. Strings of kind
     ``random`` overlap no pattern span: at least ``MIN_RANDOM`` characters, not a
     known digest, identifier or number, and at most ``max_ratio`` characters a token.
+    They are what pattern spans leave of a run of candidate characters, or parts of
+    that between marks.
     """
     if not text:
         return []
@@ -100,12 +185,8 @@ def find_spans(text: str | None, ranks_path: str, max_ratio: float = MAX_CHARS_P
         spans += [(at + m.start(), at + m.end(), 2) for m in _HEX.finditer(word) if m.end() - m.start() >= MIN_HEX]
         candidates += [(at + m.start(), at + m.end()) for m in _CANDIDATE.finditer(word)]
         at += len(word)
-    for start, end in candidates:
-        string = text[start:end]
-        if known_string(string) or any(s < end and start < e for s, e, k in spans if k < 3):
-            continue
-        if len(string) <= max_ratio * len(vocabulary(ranks_path).encode_ordinary(string)):
-            spans.append((start, end, 3))
+    for start, end in uncovered(candidates, sorted((s, e) for s, e, _ in spans)):
+        spans += [(*found, 3) for found in random_spans(text, start, end, vocabulary(ranks_path), max_ratio)]
     spans.sort(key=lambda x: (x[0], x[2]))
     return [(s, e, KINDS[k]) for s, e, k in spans]
 

@@ -98,6 +98,28 @@ def test_letters_are_judged_by_the_vocabulary(text, found):
     assert secrets.find_spans(f"x {text} y", RANKS) == ([(2, 2 + len(text), "random")] if found else [])
 
 
+@pytest.mark.parametrize("before, secret, after", [
+    ("production-service-account-for-customers-", "k8Zq0Lw93Vx1pTgR7sYb2NcD", ""),
+    ("/api/v1/projects/production/customers/webhook/", "k8Zq0Lw93Vx1pTgR7sYb2NcD", "/notifications/production"),
+    ("production-service-account-for-customers-", "k8Zq0Lw9+3Vx1pTgR/7sYb2NcD", "-for-internal-monitoring"),
+    ("production_service_account_", "qzxjvkwpghtrnbmdlfcysuxq", ""),
+])
+def test_words_do_not_hide_a_secret(before, secret, after):
+    assert secrets.find_spans(f"x {before}{secret}{after} y", RANKS) == [
+        (2 + len(before), 2 + len(before + secret), "random")
+    ]
+
+
+def test_rest_outside_pattern_spans():
+    digits, secret = "deadbeef" * 3, "k8Zq0Lw93Vx1pTgR7sYb2NcR"
+    assert secrets.find_spans(f"{secret}-{digits}/{secret}", RANKS) == [
+        (0, 25, "random"), (25, 49, "hex"), (49, 74, "random")
+    ]
+    for plain in ("/api/v1/objects/production/customers/123e4567-e89b-12d3-a456-426614174000/details/of/the/connection",
+                  "password=hunter22x/with/a/long/way/of/words/behind", "2024-01-02/production/service/release-2024-01-02"):
+        assert not [k for _, _, k in secrets.find_spans(plain, RANKS) if k == "random"]
+
+
 def test_personal_data(docs, empty):
     got = by_id(secrets.digest(pii.find_personal_data(docs), pii.BASE_KINDS).collect())
     for row, (doc_id, text) in zip(got, expected(docs), strict=True):
