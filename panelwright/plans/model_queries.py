@@ -17,17 +17,19 @@ from . import sql_linear, studies
 from .fixture import PREDICTORS, model_data
 from .registry import MODEL_VIEWS, query
 from .stat_queries import SPLIT_VIEWS
-from .studies import QUICK, Study
+from .studies import Settings, Study
 
+#: The registered queries run the study's own grids.
+FULL = Settings()
 OUTCOMES = ["action_flag", "unanimous_flag"]
 REGRESSION_TERMS = [c for c in PREDICTORS if c != "total_measure"]
 
 
-def _classes(spark, folder, outcome="action_flag", settings=QUICK, others=()):
+def _classes(spark, folder, outcome="action_flag", settings=FULL, others=()):
     return Study.of(model_data(spark, folder), "entity_id", outcome, PREDICTORS, settings, others)
 
 
-def _values(spark, folder, flag="action_flag", settings=QUICK, others=()):
+def _values(spark, folder, flag="action_flag", settings=FULL, others=()):
     return Study.of(model_data(spark, folder), "entity_id", "total_measure", [flag, *REGRESSION_TERMS], settings, others)
 
 

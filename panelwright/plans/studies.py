@@ -26,12 +26,13 @@ from . import codes
 
 @dataclass
 class Settings:
-    """Sizes of grids, forests and folds. The defaults are those of the study;
-    ``quick`` has the same methods on smaller grids."""
+    """Sizes of grids, forests and folds. The defaults are those of the study, with
+    trees as deep as ``pyspark.ml`` lets them grow; ``QUICK`` has the same methods
+    on smaller grids, for tests."""
 
     folds: int = 10
     trees: int = 500
-    depth: int = 10
+    depth: int = 30
     mtry: Sequence[int] = tuple(range(1, 13))
     rates: Sequence[float] = tuple(log_grid(*codes.RATE_GRID))
     rounds: int = 500

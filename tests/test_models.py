@@ -163,3 +163,28 @@ def test_exponents_follow_the_expansion(spark):
         want = PolynomialExpansion(degree=degree, inputCol="v", outputCol="e").transform(frame).first()["e"].toArray()
         assert np.allclose(np.prod(x ** _exponents(4, degree), axis=1), want)
     assert len(_exponents(80, 2)) == 3320
+
+
+@pytest.mark.parametrize("name", [
+    "rf_class_cv", "rf_reg_cv", "oob_error", "bagged_holdout", "gbt_cv", "svm_linear", "svm_rbf", "svm_poly", "svm_accuracy",
+    "logit_elastic_cv", "refit_best", "rf_importance", "rf_importance_corrected", "altmann_pvalues",
+    "altmann_pvalues_regression", "bench_classification", "bench_regression",
+])
+def test_registered_queries_run_the_whole_study(monkeypatch, name):
+    import __spark_entry__ as entry
+    from panelwright.plans import model_queries
+
+    class Asked(Exception):
+        pass
+
+    def of(df, row_id, outcome, terms, settings, others=()):
+        raise Asked(settings)
+
+    monkeypatch.setattr(model_queries, "model_data", lambda spark, folder: None)
+    monkeypatch.setattr(model_queries.Study, "of", of)
+    with pytest.raises(Asked) as asked:
+        entry.queries()[name](None, "")
+    s = asked.value.args[0]
+    assert (s.folds, list(s.mtry), s.trees, s.depth, len(s.rates), s.rounds) == (10, list(range(1, 13)), 500, 30, 20, 500)
+    assert (len(s.linear_costs), len(s.gammas) * len(s.radial_costs), len(s.degrees) * len(s.poly_costs)) == (5, 45, 24)
+    assert (s.svm_iterations, s.fourier_size, s.permutations, len(s.penalties)) == (100, 500, 1000, 4)
