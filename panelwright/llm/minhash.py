@@ -125,25 +125,34 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     return docs.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, keys array<long>")
 
 
+def set_mark(set_key: bytes) -> int:
+    """The first half of a set's hash."""
+    return int.from_bytes(set_key[:8], "big", signed=True)
+
+
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, shingles) of rows (doc_id, text), for verification."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(node, mark, shingles) of rows (doc_id, text), for verification; ``mark`` tells the sets of one node apart."""
+    schema = pa.schema([("node", pa.int64()), ("mark", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text.as_py(), words).astype(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, schema.field(1).type)], schema=schema)
+            sets = [shingles(text.as_py(), words) for text in batch.column(1)]
+            marks = [set_mark(xxhash.xxh3_128_digest(found.tobytes())) for found in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(marks, pa.int64()),
+                 pa.array([found.astype(np.int64) for found in sets], schema.field(2).type)], schema=schema,
+            )
 
-    return docs.mapInArrow(work, "node long, shingles array<long>")
+    return docs.mapInArrow(work, "node long, mark long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose full sets, that of a_mark and that of b_mark, are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("mark").alias("a_mark"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("mark").alias("b_mark"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.join(left, ["a", "a_mark"]).join(right, ["b", "b_mark"])
         .where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
     )
 
@@ -151,9 +160,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
-    ``buckets`` has (key, node, n, shared, size, u): every member of every bucket
-    with the size of its set, how many of its shingles any other compared set has,
-    the size of the bucket and the node's hash in [0, 1). In each round a growing
+    ``buckets`` has (key, node, mark, n, shared, size, u): every set in every bucket
+    with its node and its size, how many of its shingles any other compared set has,
+    the size of the bucket and the node's hash in [0, 1). A node has several sets if
+    an id occurs with several texts. In each round a growing
     share of a bucket's members are centres, in the first one also the member with
     the fewest shingles of its own, which as a rule is what the others were copied
     from. Centres meet those members that belong to another component so far and
@@ -174,14 +184,18 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
             first = now.join(origin, (now["key"] == origin["key"]) & (now["node"] == origin["origin"]), "left_semi")
             chosen = chosen.union(first).distinct()
         centres = chosen.select(
-            "key", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("shared").alias("c_shared"),
+            "key", F.col("node").alias("c"), F.col("mark").alias("c_mark"), F.col("n").alias("c_n"), F.col("shared").alias("c_shared"),
             F.col("component").alias("c_component"),
         )
+        larger = F.col("node") > F.col("c")
         pairs = open_members.join(centres, "key").where(
             (F.col("component") != F.col("c_component"))
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
             & ((100 + threshold) * F.least("shared", "c_shared") >= threshold * (F.col("n") + F.col("c_n")))
-        ).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+        ).select(
+            F.greatest("node", "c").alias("a"), F.when(larger, F.col("mark")).otherwise(F.col("c_mark")).alias("a_mark"),
+            F.least("node", "c").alias("b"), F.when(larger, F.col("c_mark")).otherwise(F.col("mark")).alias("b_mark"),
+        ).distinct()
         found = stage(_verified(pairs, sets, threshold), "pairs")
         edges = found if edges is None else edges.union(found)
         edges = stage(star_step(star_step(edges)), "stars")
@@ -222,7 +236,9 @@ def near_duplicates(
         ),
         "groups",
     )
-    members = groups.select("node", "n", F.explode("keys").alias("key"))
+    # The first 8 bytes of the set's hash as a number, as in set_mark.
+    mark = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
+    members = groups.select("node", mark.alias("mark"), "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     share = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(2**53))
     buckets = stage(members.join(shared, "key").withColumn("u", share), "buckets")
@@ -230,12 +246,13 @@ def near_duplicates(
     sets = stage(
         shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
     )
-    holders = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(
-        F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")
+    # A shingle is alone if one set of one node has it, in however many rows.
+    holders = sets.select("node", "mark", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.min("node").alias("node"), F.max("node").alias("last_node"), F.min("mark").alias("mark"), F.max("mark").alias("last_mark")
     )
-    alone = holders.where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    alone = holders.where("node = last_node and mark = last_mark").groupBy("node", "mark").agg(F.count(F.lit(1)).alias("alone"))
     buckets = stage(
-        buckets.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"),
+        buckets.join(alone, ["node", "mark"], "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"),
         "buckets",
     )
     components = _components(buckets, sets, threshold)
