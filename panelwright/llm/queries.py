@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lattice, minhash, packing, pii, quality, secrets, sql, token_counts, token_store, warc
+from . import (
+    decontaminate, host_rules, lattice, minhash, packing, pii, pivots, quality, secrets, sql, token_counts, token_store, warc,
+    whitening,
+)
 from .tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +99,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op11_host_rules", sql.HOST_RULES)
+def op11_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts of all documents and the verdicts of their hosts."""
+    found = host_rules.judged(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings whitened by the first components of the distinct ones."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query("op13_vector_codes", sql.VECTOR_CODES)
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings as codes of 16 parts."""
+    return pivots.compressed(table(spark, folder, "embeddings"))
