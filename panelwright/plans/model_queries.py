@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import cluster, importance
-from ..operators.bags import out_of_bag_error
-from ..operators.classify import forest, importances, logistic
+from ..operators import cluster
+from ..operators.classify import logistic
 from ..operators.evaluate import MISCLASS, MSE, accuracy_row
-from ..operators.fitting import Candidate, assemble, fold_frame
+from ..operators.fitting import Candidate, fold_frame
+from ..operators.forests import Forest
 from ..operators.reshape import unnest_parallel
 from ..session import stage
 from . import sql_linear, studies
@@ -93,11 +93,11 @@ def q_rf_reg_cv(spark, folder):
 
 @query("oob_error")
 def q_oob_error(spark, folder):
+    """Out-of-bag and hold-out error of one forest, from one growth."""
     with _classes(spark, folder) as s:
-        g = s.settings
-        e, seen = out_of_bag_error(s.train, "entity_id", s.outcome, 4, g.trees, g.depth, False, g.seed, g.threads)
-        test = s.refit(Candidate((4,), lambda n: forest(s.outcome, 4, g.trees, g.depth)))
-        return spark.createDataFrame([(e, seen, test)], "oob_error double, share_scored double, test_error double")
+        (e,) = studies.grown_errors(s, [Forest((4,), s.settings.trees, 4)])
+        row = (e["oob_error"], e["share_scored"], e["test_error"])
+        return spark.createDataFrame([row], "oob_error double, share_scored double, test_error double")
 
 
 @query("bagged_holdout")
@@ -105,8 +105,8 @@ def q_bagged_holdout(spark, folder):
     with _classes(spark, folder, others=["action_flag"]) as a:
         b = a.towards("total_measure", ["action_flag", *REGRESSION_TERMS])
         rows = [
-            ("bagged_classification", MISCLASS, float(a.refit(studies.bagging_candidate(a)))),
-            ("bagged_regression", MSE, float(b.refit(studies.bagging_candidate(b, True), MSE))),
+            ("bagged_classification", MISCLASS, studies.bagged_error(a)),
+            ("bagged_regression", MSE, studies.bagged_error(b, True)),
         ]
         return spark.createDataFrame(rows, "method string, metric string, test_error double")
 
@@ -114,7 +114,7 @@ def q_bagged_holdout(spark, folder):
 @query("gbt_cv")
 def q_gbt_cv(spark, folder):
     with _classes(spark, folder) as s:
-        return fold_frame(s.table, s.tune(studies.boosting_candidates(s)), ["learn_rate"], "double")
+        return fold_frame(s.table, studies.boosting_errors(s), ["learn_rate"], "double")
 
 
 @query("svm_linear")
@@ -149,7 +149,7 @@ def q_svm_accuracy(spark, folder):
 @query("refit_best")
 def q_refit_best(spark, folder):
     with _classes(spark, folder) as s:
-        (mtry,), e = s.tuned(studies.forest_candidates(s))
+        mtry, e, _ = studies.tuned_forest(s)
         return spark.createDataFrame([("random_forest", mtry, float(e))], "method string, mtry int, test_misclass double")
 
 
@@ -174,54 +174,30 @@ def q_kmeans_points(spark, folder):
     return cluster.assign(table, CLUSTER_COLUMNS, best[4].centres).drop("distance2")
 
 
-def _grow(s, mtry, regression=False):
-    g = s.settings
-
-    def fit(df, columns):
-        table = assemble(df.drop("features"), columns)
-        return forest(s.outcome, min(mtry, len(columns)), g.trees, g.depth, regression, g.seed).fit(table)
-
-    return fit
-
-
 @query("rf_importance")
 def q_rf_importance(spark, folder):
     with _classes(spark, folder) as s:
-        rows = []
-        for mtry in (12, 9):
-            model = _grow(s, mtry)(s.train, s.terms)
-            rows += [(mtry, t, v, i + 1) for i, (t, v) in enumerate(importances(model, s.terms))]
-        return spark.createDataFrame(rows, "mtry int, term string, importance double, ord int")
+        found = studies.importances(s, (12, 9))
+        order = Window.partitionBy("mtry").orderBy(F.desc("importance"), "term")  # the terms of one forest
+        return found.withColumn("ord", F.row_number().over(order))
 
 
 @query("rf_importance_corrected")
 def q_rf_importance_corrected(spark, folder):
     with _values(spark, folder) as s:
-        fit = _grow(s, 6, regression=True)
-        rows = importance.corrected_importance(s.train.drop("features"), "entity_id", s.outcome, s.terms, fit)
-        return spark.createDataFrame(rows, "term string, importance double")
+        return studies.corrected_importances(s, 6).orderBy(F.desc("importance"), "term")
 
 
 @query("altmann_pvalues")
 def q_altmann_pvalues(spark, folder):
     with _classes(spark, folder) as s:
-        fit = _grow(s, 9)
-        out = importance.altmann(
-            s.train, "entity_id", s.outcome, s.terms, lambda df: importances(fit(df, s.terms), s.terms),
-            s.settings.permutations, labels=True, threads=s.settings.threads,
-        )
-        return out.orderBy("p_value", "term")
+        return studies.permutation_p_values(s, 9).orderBy("p_value", "term")
 
 
 @query("altmann_pvalues_regression")
 def q_altmann_pvalues_regression(spark, folder):
     with _values(spark, folder) as s:
-        fit = _grow(s, 6, regression=True)
-        out = importance.altmann(
-            s.train, "entity_id", s.outcome, s.terms, lambda df: importances(fit(df, s.terms), s.terms),
-            s.settings.permutations, labels=False, threads=s.settings.threads,
-        )
-        return out.orderBy("p_value", "term")
+        return studies.permutation_p_values(s, 6, regression=True).orderBy("p_value", "term")
 
 
 @query("bench_classification")

@@ -4,35 +4,45 @@ training rows at its own best setting, and ranked by its hold-out error."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grids import even_grid, log_grid
 from ..functions.hashing import DEFAULT_SEED
-from ..operators import linear
-from ..operators.bags import out_of_bag_error
+from ..operators import forests, importance, linear
+from ..operators.boosting import Booster, booster_errors
 from ..operators.classify import (
-    boosting, elastic_logistic, forest, fourier_map, linear_svm, logistic, polynomial_map, standardised,
+    elastic_logistic, fourier_map, linear_svm, logistic, polynomial_map, standardised,
 )
 from ..operators.evaluate import MISCLASS, MSE, leaderboard
 from ..operators.fitting import (
     FEATURES, Candidate, assemble, best_candidate, cross_validate, holdout_error, prepare, side_by_side, test_rows,
     train_rows,
 )
+from ..operators.forests import CLASSES, VALUES, Forest, Grower
 from ..operators.moments import total
+from ..operators.resample import permute_columns
+from ..operators.trees import Rule
+from ..session import stage
 from . import codes
 
 
 @dataclass
 class Settings:
     """Sizes of grids, forests and folds. The defaults are those of the study, with
-    trees as deep as ``pyspark.ml`` lets them grow; ``QUICK`` has the same methods
-    on smaller grids, for tests."""
+    trees grown to purity; ``QUICK`` has the same methods on smaller grids, for tests.
+
+    ``class_node``, ``value_node`` and ``share_node`` are the sizes up to which a node is not
+    split in forests of classes, of values and of class shares (for importances).
+    """
 
     folds: int = 10
     trees: int = 500
-    depth: int = 30
+    depth: int | None = None
+    class_node: int = 1
+    value_node: int = 5
+    share_node: int = 10
     mtry: Sequence[int] = tuple(range(1, 13))
     rates: Sequence[float] = tuple(log_grid(*codes.RATE_GRID))
     rounds: int = 500
@@ -51,7 +61,7 @@ class Settings:
 
 
 QUICK = Settings(
-    folds=3, trees=12, depth=5, mtry=(1, 4, 8, 12), rates=tuple(log_grid(-4, -0.1, 3)), rounds=4, boost_depth=4,
+    folds=3, trees=12, mtry=(1, 4, 8, 12), rates=tuple(log_grid(-4, -0.1, 3)), rounds=4, boost_depth=4,
     linear_costs=(0.01, 1), radial_costs=(0.1, 10), gammas=(0.1, 2.575), fourier_size=64, poly_costs=(0.1, 10),
     degrees=(2, 3), svm_iterations=8, penalties=(0.01, 0.1), permutations=20,
 )
@@ -70,6 +80,7 @@ class Study:
     outcome: str
     terms: list[str]
     settings: Settings
+    binned: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, row_id: str, outcome: str, terms: Sequence[str], settings: Settings, others=()) -> "Study":
@@ -120,24 +131,125 @@ class Study:
         return best, self.refit(next(c for c in candidates if c.params == best), metric, on)
 
 
+# Forests: all models of a study grow together ---------------------------------
+
+def _binned(s: Study, ranked: bool = False, corrected: bool = False) -> forests.Binned:
+    """The study's rows binned once; ``corrected`` adds the values of another training row, for all terms alike."""
+    if (ranked, corrected) not in s.binned:
+        shadows, df = None, s.table
+        if corrected:
+            df = s.train
+            shadows = permute_columns(df.select(s.row_id, *s.terms), s.row_id, s.terms, ["shadow"], s.settings.seed)
+        s.binned[ranked, corrected] = forests.bin_table(
+            df, s.row_id, s.outcome, s.terms, ranked=ranked, shadows=shadows)
+    return s.binned[ranked, corrected]
+
+
+def grower(s: Study, models: Sequence[Forest], regression: bool = False, min_node: int | None = None, **bins) -> Grower:
+    g = s.settings
+    size = min_node or (g.value_node if regression else g.class_node)
+    return Grower(
+        _binned(s, **bins), models, Rule(min_node=size, depth=g.depth), VALUES if regression else CLASSES, seed=g.seed)
+
+
+def tried_mtry(s: Study) -> list[int]:
+    return [m for m in s.settings.mtry if m <= len(s.terms)]
+
+
+def forest_grid(s: Study) -> list[Forest]:
+    return [Forest((m,), s.settings.trees, m, fold=k) for m in tried_mtry(s) for k in s.fold_numbers]
+
+
+def grown_errors(s: Study, models: Sequence[Forest], regression: bool = False) -> list:
+    """The errors of each forest, in order."""
+    rows = {r["model"]: r for r in forests.model_errors(grower(s, models, regression)).collect()}  # one row per forest
+    return [rows[m] for m in range(len(models))]
+
+
+def forest_errors(s: Study, regression: bool = False) -> DataFrame:
+    """Mean test, training and out-of-bag error per ``mtry`` over the folds, best first."""
+    models = forest_grid(s)
+    found = list(zip(models, grown_errors(s, models, regression)))
+    rows = []
+    for m in tried_mtry(s):
+        mine = [e for f, e in found if f.params == (m,)]
+        rows.append((m, *[sum(e[c] for e in mine) / len(mine) for c in ("test_error", "oob_error", "train_error")]))
+    table = s.table.sparkSession.createDataFrame(rows, "mtry int, test_error double, oob_error double, train_error double")
+    return table.orderBy("test_error", "mtry")
+
+
+def tuned_forest(s: Study, regression: bool = False) -> tuple[int, float, float]:
+    """(best mtry, its hold-out error, the hold-out error of bagged trees)."""
+    models = forest_grid(s)
+    folds = [(f.params, f.fold, e["train_error"], e["test_error"]) for f, e in zip(models, grown_errors(s, models, regression))]
+    best = best_candidate(folds)[0] if len(tried_mtry(s)) > 1 else tried_mtry(s)[0]
+    p = len(s.terms)
+    last = grown_errors(s, [Forest((best,), s.settings.trees, best), Forest(("all",), s.settings.trees, p)], regression)
+    return best, last[0]["test_error"], last[1]["test_error"]
+
+
+def bagged_error(s: Study, regression: bool = False) -> float:
+    return grown_errors(s, [Forest(("all",), s.settings.trees, len(s.terms))], regression)[0]["test_error"]
+
+
+def importances(s: Study, mtry: Sequence[int], regression: bool = False) -> DataFrame:
+    """(mtry, term, importance): the decrease of impurity by a term's splits, a tree."""
+    models = [Forest((m,), s.settings.trees, min(m, len(s.terms))) for m in mtry]
+    gains = grower(s, models, regression, None if regression else s.settings.share_node).gains()
+    return gains.select(
+        F.element_at(F.array(*[F.lit(m) for m in mtry]), F.col("model") + 1).alias("mtry"), "term",
+        F.col("gain").alias("importance"))
+
+
+def _less_shadow(gains: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Gains of terms less those of their shadows."""
+    sign = F.when(F.col("term").endswith("_shadow"), -F.col("gain")).otherwise(F.col("gain"))
+    return gains.groupBy(*key, F.regexp_replace("term", "_shadow$", "").alias("term")).agg(F.sum(sign).alias("gain"))
+
+
+def corrected_importances(s: Study, mtry: int) -> DataFrame:
+    """(term, importance) without the advantage of terms with many values (Nembrini, König and Wright 2018).
+
+    The terms and those of another training row are tried alike; what the other row's
+    values gain is taken off, so a term without effect is centred on 0.
+    """
+    gains = grower(s, [Forest((mtry,), s.settings.trees, mtry)], True, corrected=True).gains()
+    return _less_shadow(gains, []).withColumnRenamed("gain", "importance")
+
+
+def permutation_p_values(s: Study, mtry: int, regression: bool = False) -> DataFrame:
+    """(term, importance, p_value): importances against those of forests on permuted outcomes
+    (Altmann and others 2010). All forests grow in one run; the outcome is permuted inside it.
+    Regression uses the corrected importance."""
+    g = s.settings
+    models = [Forest((b,), g.trees, min(mtry, len(s.terms)), permutation=b) for b in range(g.permutations + 1)]
+    gains = grower(s, models, regression, None if regression else g.share_node, ranked=True, corrected=regression).gains()
+    if regression:
+        gains = _less_shadow(gains, ["model"])
+    gains = stage(gains, "gains")
+    observed = gains.where("model = 0").select("term", F.col("gain").alias("importance"))
+    null = gains.where("model > 0").select("term", F.col("gain").alias("importance"))
+    return importance.p_values(observed, null, "term", "importance")
+
+
 # Candidates ------------------------------------------------------------------
 
-def forest_candidates(s: Study, regression: bool = False) -> list[Candidate]:
-    o, g = s.outcome, s.settings
-    return [
-        Candidate((m,), lambda n, m=m: forest(o, m, g.trees, g.depth, regression, g.seed))
-        for m in g.mtry if m <= len(s.terms)
-    ]
+def boosting_errors(s: Study) -> list[tuple]:
+    """(params, fold, training error, test error) of every rate and fold, all boosters in lock-step."""
+    models = [Booster((r,), r, fold=k) for r in s.settings.rates for k in s.fold_numbers]
+    return _boosted(s, models)
 
 
-def bagging_candidate(s: Study, regression: bool = False) -> Candidate:
-    o, g = s.outcome, s.settings
-    return Candidate(("all",), lambda n: forest(o, "all", g.trees, g.depth, regression, g.seed))
+def _boosted(s: Study, models: Sequence[Booster]) -> list[tuple]:
+    errors = booster_errors(_binned(s), models, s.settings.rounds, s.settings.boost_depth)
+    rows = {r["model"]: r for r in errors.collect()}  # one row per booster
+    return [(m.params, m.fold, rows[i]["train_error"], rows[i]["test_error"]) for i, m in enumerate(models)]
 
 
-def boosting_candidates(s: Study) -> list[Candidate]:
-    o, g = s.outcome, s.settings
-    return [Candidate((r,), lambda n, r=r: boosting(o, r, g.rounds, g.boost_depth, g.seed)) for r in g.rates]
+def tuned_boosting(s: Study) -> tuple[float, float]:
+    """(best rate, its hold-out error)."""
+    (rate,) = best_candidate(boosting_errors(s))
+    return rate, _boosted(s, [Booster((rate,), rate)])[0][3]
 
 
 def svm_candidates(s: Study, costs: Sequence[float], features: str = FEATURES, standardise: bool = True) -> list[Candidate]:
@@ -202,14 +314,13 @@ def classification(s: Study) -> DataFrame:
         "logistic_model": lambda: s.refit(Candidate((), lambda n: logistic(s.outcome))),
         "ridge_logistic": lambda: s.tuned(elastic_candidates(s, 0.0))[1],
         "lasso_logistic": lambda: s.tuned(elastic_candidates(s, 1.0))[1],
-        "bagged_classification": lambda: s.refit(bagging_candidate(s)),
-        "random_forest": lambda: s.tuned(forest_candidates(s))[1],
-        "boosted_classification": lambda: s.tuned(boosting_candidates(s))[1],
         "svm_linear": lambda: s.tuned(svm_candidates(s, g.linear_costs))[1],
         "svm_radial": lambda: radial_svm(s)[2],
         "svm_polynomial": lambda: polynomial_svm(s)[2],
     }
     errors = dict(zip(jobs, side_by_side(s.table.sparkSession, list(jobs.values()), g.threads)))
+    _, errors["random_forest"], errors["bagged_classification"] = tuned_forest(s)
+    errors["boosted_classification"] = tuned_boosting(s)[1]
     rows = [(m, MISCLASS, float(e)) for m, e in errors.items()]
     rows += [(m, MSE, float(e)) for m, e in penalised_errors(s, codes.RIDGE_GRID, codes.LASSO_CLASS_GRID).items()]
     results = s.table.sparkSession.createDataFrame(rows, "method string, metric string, test_error double")
@@ -222,30 +333,8 @@ def regression(s: Study) -> DataFrame:
     rows = [("ols_model", linear.ols(total(folds), s.outcome, s.terms).mse(test, s.outcome))]
     fits = linear.penalised_fits(folds, s.outcome, s.terms, codes.RIDGE_GRID, codes.LASSO_GRID)
     rows += [(m, fits[m].mse(test, s.outcome)) for m in ("ridge_min", "lasso_min")]
-    forests = {
-        "random_forest": lambda: s.tuned(forest_candidates(s, True), MSE)[1],
-        "bagged_regression": lambda: s.refit(bagging_candidate(s, True), MSE),
-    }
-    rows += list(zip(forests, side_by_side(s.table.sparkSession, list(forests.values()), s.settings.threads)))
+    _, forest, bagged = tuned_forest(s, True)
+    rows += [("random_forest", forest), ("bagged_regression", bagged)]
     results = s.table.sparkSession.createDataFrame([(m, float(e)) for m, e in rows], "method string, test_error double")
     variance = float(test.cross[0, 0] / (test.n - 1))
     return linear.explained(leaderboard(results, "test_error"), "test_error", variance)
-
-
-def forest_errors(s: Study, regression: bool = False) -> DataFrame:
-    """Mean test, training and out-of-bag error per ``mtry``, best first."""
-    g = s.settings
-    metric = MSE if regression else MISCLASS
-    found = s.tune(forest_candidates(s, regression), metric)
-    tried = sorted({params[0] for params, *_ in found})
-
-    def bags(m: int):
-        return lambda: out_of_bag_error(s.train, s.row_id, s.outcome, m, g.trees, g.depth, regression, g.seed, g.threads)
-
-    outside = side_by_side(s.table.sparkSession, [bags(m) for m in tried], 2)
-    rows = []
-    for m, (oob, _) in zip(tried, outside):
-        mine = [(a, b) for params, _, a, b in found if params == (m,)]
-        rows.append((m, sum(b for _, b in mine) / len(mine), float(oob), sum(a for a, _ in mine) / len(mine)))
-    table = s.table.sparkSession.createDataFrame(rows, "mtry int, test_error double, oob_error double, train_error double")
-    return table.orderBy("test_error", "mtry")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +70,23 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_modules(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, so that tasks import it by name."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    name = f"{shared_folder(spark)}/modules/{root.name}-modules.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(spark.sparkContext.applicationId)

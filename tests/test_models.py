@@ -1,17 +1,20 @@
 """Behaviour of fitted models on data with a known answer."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from panelwright.functions.hashing import uniform
-from panelwright.operators import cluster, importance
-from panelwright.operators.bags import out_of_bag_error
+from panelwright.operators import cluster
 from panelwright.operators.classify import (
-    elastic_logistic, forest, fourier_map, importances, linear_svm, logistic, polynomial_map, standardised,
+    elastic_logistic, fourier_map, linear_svm, logistic, polynomial_map, standardised,
 )
 from panelwright.operators.fitting import Candidate, assemble, cross_validate, holdout_error, prepare
+from panelwright.operators.forests import Forest
+from panelwright.plans import studies
 from panelwright.plans.studies import QUICK, Study, radial_svm
 
 
@@ -77,16 +80,6 @@ def test_logistic_against_newton(spark, planted):
     assert np.allclose([model.intercept, *model.coefficients], b, rtol=1e-6, atol=1e-6)
 
 
-def test_out_of_bag_error_is_near_holdout(spark, planted):
-    table = assemble(prepare(planted, "k", ["y", *PLANTED_TERMS], 3), PLANTED_TERMS).persist()
-    train, test = table.where("is_train"), table.where("not is_train")
-    oob, seen = out_of_bag_error(train, "k", "y", 2, 20, 5)
-    held = holdout_error(forest("y", 2, 20, 5).fit(train), test, "y")
-    assert seen > 0.99 and abs(oob - held) < 0.08
-    reg, seen = out_of_bag_error(assemble(planted, PLANTED_TERMS), "k", "value", 2, 12, 6, regression=True)
-    assert seen > 0.95 and 0.05 < reg < 1.0
-
-
 def test_cross_validation_covers_the_grid(spark, planted):
     table = assemble(prepare(planted, "k", ["y", *PLANTED_TERMS], 3), PLANTED_TERMS).persist()
     found = cross_validate(
@@ -99,28 +92,30 @@ def test_cross_validation_covers_the_grid(spark, planted):
     assert holdout_error(model, table.where("fold = 0"), "y") == pytest.approx(found[0][3])
 
 
-def _importance(outcome, regression):
-    def run(df):
-        model = forest(outcome, 2, 15, 4, regression).fit(assemble(df.drop("features"), PLANTED_TERMS))
-        return importances(model, PLANTED_TERMS)
-
-    return run
+def small_study(planted, outcome, permutations=1000):
+    settings = replace(QUICK, trees=20, permutations=permutations)
+    return Study.of(planted, "k", outcome, PLANTED_TERMS, settings)
 
 
 @pytest.mark.parametrize("outcome,regression", [("y", False), ("value", True)])
 def test_permutation_p_values_find_the_signal(spark, planted, outcome, regression):
-    df = planted.select("k", outcome, *PLANTED_TERMS)
-    out = importance.altmann(df, "k", outcome, PLANTED_TERMS, _importance(outcome, regression), 19, labels=not regression)
+    out = studies.permutation_p_values(small_study(planted, outcome, 19), 2, regression)
     p = {r.term: r.p_value for r in out.collect()}
     assert p["signal"] == pytest.approx(1 / 20) and p["noise1"] > 0.05 and p["noise2"] > 0.05
 
 
 def test_corrected_importance(spark, planted):
-    def fit(df, names):
-        return forest("value", 3, 20, 5, True).fit(assemble(df, names))
+    study = small_study(planted, "value")
+    plain = {r.term: r.importance for r in studies.importances(study, [3], True).collect()}
+    fair = {r.term: r.importance for r in studies.corrected_importances(study, 3).collect()}
+    assert fair["signal"] > 0.5 * plain["signal"]
+    assert all(abs(fair[t]) < 0.02 * fair["signal"] for t in ("noise1", "noise2")), (fair, plain)
 
-    rows = importance.corrected_importance(planted.select("k", "value", *PLANTED_TERMS), "k", "value", PLANTED_TERMS, fit)
-    assert rows[0][0] == "signal" and rows[0][1] > 0.8 and all(abs(v) < 0.05 for _, v in rows[1:])
+
+def test_out_of_bag_error_is_near_holdout(spark, planted):
+    for outcome, regression in (("y", False), ("value", True)):
+        (e,) = studies.grown_errors(small_study(planted, outcome), [Forest((2,), 40, 2)], regression)
+        assert e["share_scored"] == 1.0 and abs(e["oob_error"] - e["test_error"]) < 0.4 * e["test_error"] + 0.02
 
 
 def test_cluster_grid_against_lloyd(spark):
@@ -185,6 +180,6 @@ def test_registered_queries_run_the_whole_study(monkeypatch, name):
     with pytest.raises(Asked) as asked:
         entry.queries()[name](None, "")
     s = asked.value.args[0]
-    assert (s.folds, list(s.mtry), s.trees, s.depth, len(s.rates), s.rounds) == (10, list(range(1, 13)), 500, 30, 20, 500)
+    assert (s.folds, list(s.mtry), s.trees, s.depth, len(s.rates), s.rounds) == (10, list(range(1, 13)), 500, None, 20, 500)
     assert (len(s.linear_costs), len(s.gammas) * len(s.radial_costs), len(s.degrees) * len(s.poly_costs)) == (5, 45, 24)
     assert (s.svm_iterations, s.fourier_size, s.permutations, len(s.penalties)) == (100, 500, 1000, 4)
