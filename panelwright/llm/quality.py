@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.order import add_row_id
 from ..session import stage
@@ -23,7 +23,8 @@ LABELLED_SAMPLE = 20_000
 PRIOR = 20.0
 #: Scale of the Gumbel noise against the log weights; 1 samples in proportion to the weights.
 TEMPERATURE = 1.0
-REMEMBERED_WORDS = 1_000_000
+#: Bytes of the words, and of what goes with each, that a worker remembers.
+REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 180
 SEED = 9176
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,9 +45,13 @@ def _form(word: bytes) -> int:
 class _Words(dict):
     """Two 32-bit hashes of each word seen, its own and its form's, in one integer."""
 
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
+        self.size += len(word) + ENTRY_BYTES
+        if self.size > REMEMBERED_BYTES:
             self.clear()
+            self.size = len(word) + ENTRY_BYTES
         found = self[word] = xxhash.xxh32_intdigest(word) << 32 | _form(word)
         return found
 
@@ -128,11 +133,11 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            found = [ngrams(text.as_py()) for text in batch.column(0)]
-            good = [grams for grams, mark in zip(found, batch.column(1).to_pylist()) if mark]
-            for row, grams in ((1, found), (0, good)):
-                if grams:
-                    counts[row] += np.bincount(np.concatenate(grams), minlength=BUCKETS)
+            for text, mark in zip(batch.column(0), batch.column(1).to_pylist()):
+                grams = ngrams(text.as_py())
+                np.add.at(counts[1], grams, 1)
+                if mark:
+                    np.add.at(counts[0], grams, 1)
         met = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_pydict({"bucket": met, "target": counts[0][met], "raw": counts[1][met]})
 
@@ -145,29 +150,39 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def scores(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE) -> DataFrame:
-    """Per row: doc_id, n_words, log_weight, gumbel_key and a hash of the text that settles ties."""
+SCORES = (("doc_id", "long"), ("n_words", "long"), ("log_weight", "double"), ("gumbel_key", "double"), ("mark", "long"))
+
+
+def scores(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE, prefix: str = "", whole: bool = False) -> DataFrame:
+    """Per row: doc_id, n_words, log_weight, gumbel_key and a hash of the text that settles ties.
+
+    With ``whole`` these columns, named with ``prefix``, follow all those of the documents.
+    """
+    kept = docs.columns if whole else []
+    at_text = docs.columns.index("text") if whole else 1
+    names = [prefix + n for n, _ in SCORES]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, weights, keys, marks = [], [], [], []
-            ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, batch.column(1)):
+            at_id = batch.num_columns - 1 if whole else 0
+            for doc_id, text in zip(batch.column(at_id).to_pylist(), batch.column(at_text)):
                 text = text.as_py()
                 grams = ngrams(text)
                 words.append(len(grams) // 3)
                 weights.append(log_weight(grams, ratios))
                 keys.append(gumbel_key(weights[-1], doc_id, text, temperature))
                 marks.append(xxhash.xxh64_intdigest((text or "").encode()) >> 1)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(words, pa.int64()),
-                "log_weight": pa.array(weights, pa.float64()), "gumbel_key": pa.array(keys, pa.float64()),
-                "mark": pa.array(marks, pa.int64()),
-            })
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, n_words long, log_weight double, gumbel_key double, mark long"
-    )
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[: len(kept)], batch.column(at_id), pa.array(words, pa.int64()), pa.array(weights, pa.float64()),
+                pa.array(keys, pa.float64()), pa.array(marks, pa.int64()),
+            ], names=[*kept, *names])
+
+    given = docs.select(docs["doc_id"].cast("long").alias(names[0]), docs["text"])
+    if whole:
+        given = docs.withColumn(names[0], docs["doc_id"].cast("long"))
+    fields = [*(docs.schema.fields if whole else []), *(T.StructField(prefix + n, T._parse_datatype_string(t)) for n, t in SCORES)]
+    return given.mapInArrow(work, T.StructType(fields))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -188,20 +203,27 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[best - 1] + w[best]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, sample_rows: int = LABELLED_SAMPLE):
+def resample(
+    docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, sample_rows: int = LABELLED_SAMPLE, whole: bool = False,
+):
     """Score all documents and find the last one that is kept.
 
-    Returns (scored, ratios, last): the scored table with ``selected``, the log
-    ratios and the (gumbel_key, doc_id, mark) of the last selected row, None if
-    nothing is selected.
+    Returns (scored, last, rows, prefix): the scores with ``selected``, the
+    (gumbel_key, doc_id, mark) of the last selected row, None if nothing is selected,
+    and the written table of the scores, which with ``whole`` has the documents too and
+    the names of the scores after ``prefix``.
 
     k is the number of documents on the good side of the cut that serves the
     held-out half of the labelled sample best; the k rows with the largest Gumbel keys are selected.
     """
     ship_package(docs.sparkSession)
+    prefix = "_" if whole else ""
+    while whole and any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
     sample = stage(labelled_sample(labels, sample_rows), "labelled")
     ratios = log_ratios(*count_ngrams(docs, sample))
-    scored = stage(scores(docs, ratios, temperature), "scores")
+    rows = stage(scores(docs, ratios, temperature, prefix, whole), "scores")
+    scored = rows.select(*[F.col(prefix + n).alias(n) for n, _ in SCORES])
     judged = (
         scored.join(F.broadcast(sample.where("not teaches")), "doc_id").groupBy("doc_id")
         .agg(F.min("log_weight").alias("log_weight"), F.first("good").alias("good")).collect()
@@ -211,9 +233,9 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     ordered = add_row_id(
         scored.withColumn("_down", -F.col("gumbel_key")), ["_down", "doc_id", "mark"], "rank"
     ).drop("_down")
-    chosen = ordered.withColumn("selected", F.col("rank") <= k)
     last = ordered.where(F.col("rank") == k).first() if k else None
-    return chosen, ratios, last and (last["gumbel_key"], last["doc_id"], last["mark"])
+    chosen = ordered.withColumn("selected", F.col("rank") <= k)
+    return chosen, last and (last["gumbel_key"], last["doc_id"], last["mark"]), rows, prefix
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -228,25 +250,20 @@ def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     return resample(docs, labels, **settings)[0].select("doc_id", "n_words", "log_weight", "gumbel_key", "selected")
 
 
-def _not_after(key: float, doc_id, mark: int, last: tuple) -> bool:
-    """Whether a row comes no later than ``last`` in the order of selection."""
-    rank = lambda k, i, m: (-k, i is not None, i or 0, m)
-    return rank(key, doc_id, mark) <= rank(*last)
-
-
-def keep_selected(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, **settings) -> DataFrame:
-    """The selected documents with all their columns, in one more pass and without a shuffle of texts."""
-    _, ratios, last = resample(docs, labels, temperature, **settings)
-    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
+def keep_selected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The selected documents with all their columns.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for doc_id, text in zip(batch.column(at_id).to_pylist(), batch.column(at_text)):
-                text = text.as_py()
-                key = gumbel_key(log_weight(ngrams(text), ratios), doc_id, text, temperature)
-                mark = xxhash.xxh64_intdigest((text or "").encode()) >> 1
-                keep.append(last is not None and _not_after(key, doc_id, mark, last))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(work, docs.schema)
+    Scoring writes the documents with their keys, so what is kept is a filter against
+    the last selected key. Null and empty texts have weight 0 and are kept or not like
+    others; rows with equal id and text share one key and go or stay together as far
+    as ties at the last place allow: all of them stay if one does. Clashing column
+    names do no harm; an empty table gives no row.
+    """
+    _, last, rows, prefix = resample(docs, labels, whole=True, **settings)
+    if last is None:
+        return rows.select(*docs.columns).where("false")
+    key, doc_id, mark = (F.col(f"`{prefix}{n}`") for n in ("gumbel_key", "doc_id", "mark"))
+    same_id = doc_id.eqNullSafe(F.lit(last[1]).cast("long"))
+    before_id = (doc_id.isNull() & F.lit(last[1] is not None)) | F.coalesce(doc_id < F.lit(last[1]).cast("long"), F.lit(False))
+    kept = (key > last[0]) | ((key == last[0]) & (before_id | (same_id & (mark <= last[2]))))
+    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
