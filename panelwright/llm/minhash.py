@@ -23,6 +23,10 @@ THRESHOLD = 80
 FIRST_CENTRES, MORE_CENTRES = 2, 8
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED_WORDS = 1_000_000
+#: Classes of shingles by hash, for the bound of an intersection (a power of 2).
+CLASSES = 64
+#: Members of a bucket that meet its centres in one group.
+GROUP = 512
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -131,8 +135,13 @@ def set_mark(set_key: bytes) -> int:
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, mark, shingles) of rows (doc_id, text), for verification; ``mark`` tells the sets of one node apart."""
-    schema = pa.schema([("node", pa.int64()), ("mark", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(node, mark, shingles, totals) of rows (doc_id, text), for verification.
+
+    ``mark`` tells the sets of one node apart; ``totals`` counts the shingles of each class.
+    """
+    schema = pa.schema([
+        ("node", pa.int64()), ("mark", pa.int64()), ("shingles", pa.list_(pa.int64())), ("totals", pa.list_(pa.int32())),
+    ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +149,31 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             marks = [set_mark(xxhash.xxh3_128_digest(found.tobytes())) for found in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(marks, pa.int64()),
-                 pa.array([found.astype(np.int64) for found in sets], schema.field(2).type)], schema=schema,
+                 pa.array([found.astype(np.int64) for found in sets], schema.field(2).type),
+                 pa.array([np.bincount(found % np.uint64(CLASSES), minlength=CLASSES).astype(np.int32) for found in sets],
+                          schema.field(3).type)], schema=schema,
             )
 
-    return docs.mapInArrow(work, "node long, mark long, shingles array<long>")
+    return docs.mapInArrow(work, "node long, mark long, shingles array<long>, totals array<int>")
+
+
+def shared_classes(sets: DataFrame) -> DataFrame:
+    """(node, mark, shared, classes): how many shingles of a set another set has too, in all and by class.
+
+    A shingle is alone if one set of one node has it, in however many rows.
+    """
+    holders = sets.select("node", "mark", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.min("node").alias("node"), F.max("node").alias("last_node"), F.min("mark").alias("mark"), F.max("mark").alias("last_mark")
+    )
+    of_class = (F.col("s").bitwiseAND(CLASSES - 1)).cast("int")
+    alone = holders.where("node = last_node and mark = last_mark").groupBy("node", "mark", of_class.alias("c")).agg(
+        F.count(F.lit(1)).cast("int").alias("n")
+    ).groupBy("node", "mark").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("alone"))  # an entry a class
+    known = sets.groupBy("node", "mark").agg(F.first("totals").alias("totals")).join(alone, ["node", "mark"], "left")
+    classes = F.transform("totals", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+    return known.select("node", "mark", classes.alias("classes")).withColumn(
+        "shared", F.aggregate("classes", F.lit(0), lambda a, b: a + b)
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -160,9 +190,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
-    ``buckets`` has (key, node, mark, n, shared, size, u): every set in every bucket
-    with its node and its size, how many of its shingles any other compared set has,
-    the size of the bucket and the node's hash in [0, 1). A node has several sets if
+    ``buckets`` has (key, node, mark, n, keys, shared, classes, size, u): every set in every
+    bucket with its node, its size and the keys of its bands, how many of its shingles any other
+    compared set has, in all and by class, the size of the bucket and the node's hash in [0, 1). A node has several sets if
     an id occurs with several texts. In each round a growing
     share of a bucket's members are centres, in the first one also the member with
     the fewest shingles of its own, which as a rule is what the others were copied
@@ -171,11 +201,14 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     centres, so they are never compared all with all; a bucket in one component is
     done. Where texts differ, the rounds go on until every pair of a bucket has met,
     is connected or can't be similar: an intersection is no larger than either
-    side's ``shared``. Between rounds a few star steps tell most of what is
+    side's ``shared``, nor than the sum over the classes of the lesser count. A pair
+    passes only in the first band that both have in common, and the members of a large
+    bucket are dealt to groups that each get its centres. Between rounds a few star steps tell most of what is
     connected; that is only to save comparisons, so they need not come to an end.
     """
     origin = buckets.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("shared"), "u", "node"))["node"].alias("origin"))
     now, edges, done = buckets.withColumn("component", F.col("node")), None, 0
+    groups = F.ceil(F.col("size") / GROUP).cast("int")
     while True:
         reach = MORE_CENTRES * done + FIRST_CENTRES
         open_members = now.where(F.col("u") * F.col("size") >= done)
@@ -184,14 +217,19 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
             first = now.join(origin, (now["key"] == origin["key"]) & (now["node"] == origin["origin"]), "left_semi")
             chosen = chosen.union(first).distinct()
         centres = chosen.select(
-            "key", F.col("node").alias("c"), F.col("mark").alias("c_mark"), F.col("n").alias("c_n"), F.col("shared").alias("c_shared"),
-            F.col("component").alias("c_component"),
+            "key", *[F.col(c).alias(f"c_{c}") for c in ("mark", "n", "shared", "classes", "keys", "component")],
+            F.col("node").alias("c"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"),
         )
+        members = open_members.withColumn("group", F.pmod(F.xxhash64("node", "mark"), groups).cast("int"))
         larger = F.col("node") > F.col("c")
-        pairs = open_members.join(centres, "key").where(
+        common = F.aggregate(F.zip_with("classes", "c_classes", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+        together = F.array_position(F.zip_with("keys", "c_keys", lambda a, b: a == b), True)
+        pairs = members.join(centres, ["key", "group"]).where(
             (F.col("component") != F.col("c_component"))
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
             & ((100 + threshold) * F.least("shared", "c_shared") >= threshold * (F.col("n") + F.col("c_n")))
+            & (F.element_at("keys", together.cast("int")) == F.col("key"))
+            & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("c_n")))
         ).select(
             F.greatest("node", "c").alias("a"), F.when(larger, F.col("mark")).otherwise(F.col("c_mark")).alias("a_mark"),
             F.least("node", "c").alias("b"), F.when(larger, F.col("c_mark")).otherwise(F.col("mark")).alias("b_mark"),
@@ -238,7 +276,7 @@ def near_duplicates(
     )
     # The first 8 bytes of the set's hash as a number, as in set_mark.
     mark = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
-    members = groups.select("node", mark.alias("mark"), "n", F.explode("keys").alias("key"))
+    members = groups.select("node", mark.alias("mark"), "n", "keys", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     share = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(2**53))
     buckets = stage(members.join(shared, "key").withColumn("u", share), "buckets")
@@ -246,15 +284,7 @@ def near_duplicates(
     sets = stage(
         shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
     )
-    # A shingle is alone if one set of one node has it, in however many rows.
-    holders = sets.select("node", "mark", F.explode("shingles").alias("s")).groupBy("s").agg(
-        F.min("node").alias("node"), F.max("node").alias("last_node"), F.min("mark").alias("mark"), F.max("mark").alias("last_mark")
-    )
-    alone = holders.where("node = last_node and mark = last_mark").groupBy("node", "mark").agg(F.count(F.lit(1)).alias("alone"))
-    buckets = stage(
-        buckets.join(alone, ["node", "mark"], "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"),
-        "buckets",
-    )
+    buckets = stage(buckets.join(shared_classes(sets), ["node", "mark"]), "buckets")
     components = _components(buckets, sets, threshold)
     marked = groups.join(components, "node", "left").where("copies > 1 or component is not null").select(
         "set_key", F.coalesce("component", "node").alias("component")
