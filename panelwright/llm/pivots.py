@@ -96,6 +96,8 @@ def nearest_entries(x: np.ndarray, to_pivots: np.ndarray, book: np.ndarray, pivo
 def first_books(whole: DataFrame, parts: int, entries: int) -> np.ndarray:
     """(parts, entries, width): the parts of the vectors with the smallest ids, ties by the vector."""
     seeds = whole.orderBy(F.asc_nulls_last("vec_id"), "x").limit(entries).select("x").collect()
+    if not seeds:
+        return np.zeros((parts, 0, 0), dtype=np.int64)
     return np.array([r["x"] for r in seeds], dtype=np.int64).reshape(len(seeds), parts, -1).swapaxes(0, 1)
 
 

@@ -90,7 +90,7 @@ def components(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def near_duplicates(docs, threshold=85):
+def near_duplicates(docs, threshold):
     """docs: (doc_id, text) with distinct ids; links through an inverted index of shingles."""
     sets = {i: shingles(t) for i, t in docs}
     index = defaultdict(list)

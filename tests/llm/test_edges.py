@@ -206,7 +206,7 @@ def test_packing_repeats_and_empty(docs, empty):
 
 
 def test_near_duplicates(docs, empty):
-    want = brute.near_duplicates(ROWS)
+    want = brute.near_duplicates(ROWS, 80)
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(EXAMPLES) + 2
     for r in got:
@@ -228,7 +228,7 @@ def test_one_id_with_two_texts(spark):
 def test_one_row_of_each_group_stays(docs, empty):
     out = minhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
-    want = {i for i, (_, c) in brute.near_duplicates(ROWS).items() if c == i}
+    want = {i for i, (_, c) in brute.near_duplicates(ROWS, 80).items() if c == i}
     ids = [r.doc_id for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
     assert minhash.drop_near_duplicates(empty).count() == 0

@@ -27,7 +27,7 @@ def small():
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names)
 
 
@@ -111,7 +111,7 @@ def test_pipeline(spark, small, documents):
             judged = {r.doc_id: r.selected for r in quality.classify(docs, labels).collect()}
             assert set(left) == {i for i, s in judged.items() if s}
         elif name == "near_duplicates":
-            want = brute.near_duplicates([(i, r.text) for i, r in before.items()])
+            want = brute.near_duplicates([(i, r.text) for i, r in before.items()], 80)
             assert set(left) == {i for i, (_, c) in want.items() if c == i}
         elif name == "decontamination":
             told = brute.contamination([r.text for r in before.values()], bench)
