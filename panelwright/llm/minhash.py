@@ -236,7 +236,8 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
         ).distinct()
         found = stage(_verified(pairs, sets, threshold), "pairs")
         edges = found if edges is None else edges.union(found)
-        edges = stage(star_step(star_step(edges)), "stars")
+        for _ in range(2):  # each step written, so that no plan holds two
+            edges = stage(star_step(edges), "stars")
         labels = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
         left = now.where(F.col("size") > reach).drop("component").join(labels, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
