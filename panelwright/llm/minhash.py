@@ -160,20 +160,23 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def shared_classes(sets: DataFrame) -> DataFrame:
     """(node, mark, shared, classes): how many shingles of a set another set has too, in all and by class.
 
-    A shingle is alone if one set of one node has it, in however many rows.
+    A shingle is alone if one set has it, in however many rows. ``classes`` is null
+    where a count exceeds 16 bits.
     """
-    holders = sets.select("node", "mark", F.explode("shingles").alias("s")).groupBy("s").agg(
-        F.min("node").alias("node"), F.max("node").alias("last_node"), F.min("mark").alias("mark"), F.max("mark").alias("last_mark")
+    holders = sets.select("mark", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.min("mark").alias("mark"), F.max("mark").alias("last")
     )
     of_class = (F.col("s").bitwiseAND(CLASSES - 1)).cast("int")
-    alone = holders.where("node = last_node and mark = last_mark").groupBy("node", "mark", of_class.alias("c")).agg(
+    alone = holders.where("mark = last").groupBy("mark", of_class.alias("c")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
-    ).groupBy("node", "mark").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("alone"))  # an entry a class
-    known = sets.groupBy("node", "mark").agg(F.first("totals").alias("totals")).join(alone, ["node", "mark"], "left")
+    ).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("alone"))  # an entry a class
+    known = sets.groupBy("node", "mark").agg(F.first("totals").alias("totals")).join(alone, "mark", "left")
     classes = F.transform("totals", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
-    return known.select("node", "mark", classes.alias("classes")).withColumn(
-        "shared", F.aggregate("classes", F.lit(0), lambda a, b: a + b)
+    counted = known.select("node", "mark", classes.alias("counts")).withColumn(
+        "shared", F.aggregate("counts", F.lit(0), lambda a, b: a + b)
     )
+    small = F.array_max("counts") < (1 << 15)
+    return counted.select("node", "mark", "shared", F.when(small, F.col("counts").cast("array<short>")).alias("classes"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -190,9 +193,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
-    ``buckets`` has (key, node, mark, n, keys, shared, classes, size, u): every set in every
-    bucket with its node, its size and the keys of its bands, how many of its shingles any other
-    compared set has, in all and by class, the size of the bucket and the node's hash in [0, 1). A node has several sets if
+    ``buckets`` has (key, node, mark, n, earlier, shared, classes, size, u): every set in every
+    bucket with its node, its size and the upper halves of the keys of its earlier bands, how many of its
+    shingles any other compared set has, in all and by class, the size of the bucket and the node's hash in [0, 1). A node has several sets if
     an id occurs with several texts. In each round a growing
     share of a bucket's members are centres, in the first one also the member with
     the fewest shingles of its own, which as a rule is what the others were copied
@@ -202,7 +205,8 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     done. Where texts differ, the rounds go on until every pair of a bucket has met,
     is connected or can't be similar: an intersection is no larger than either
     side's ``shared``, nor than the sum over the classes of the lesser count. A pair
-    passes only in the first band that both have in common, and the members of a large
+    passes only in the first band that both have in common (keys are told apart by their
+    upper halves, so one pair in 10^8 is missed beside those that banding misses), and the members of a large
     bucket are dealt to groups that each get its centres. Between rounds a few star steps tell most of what is
     connected; that is only to save comparisons, so they need not come to an end.
     """
@@ -217,19 +221,18 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
             first = now.join(origin, (now["key"] == origin["key"]) & (now["node"] == origin["origin"]), "left_semi")
             chosen = chosen.union(first).distinct()
         centres = chosen.select(
-            "key", *[F.col(c).alias(f"c_{c}") for c in ("mark", "n", "shared", "classes", "keys", "component")],
+            "key", *[F.col(c).alias(f"c_{c}") for c in ("mark", "n", "shared", "classes", "earlier", "component")],
             F.col("node").alias("c"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"),
         )
         members = open_members.withColumn("group", F.pmod(F.xxhash64("node", "mark"), groups).cast("int"))
         larger = F.col("node") > F.col("c")
-        common = F.aggregate(F.zip_with("classes", "c_classes", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-        together = F.array_position(F.zip_with("keys", "c_keys", lambda a, b: a == b), True)
+        common = F.aggregate(F.zip_with("classes", "c_classes", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda a, b: a + b)
+        met = F.exists(F.zip_with("earlier", "c_earlier", lambda a, b: a == b), lambda same: same)
         pairs = members.join(centres, ["key", "group"]).where(
             (F.col("component") != F.col("c_component"))
             & (100 * F.least("n", "c_n") >= threshold * F.greatest("n", "c_n"))
             & ((100 + threshold) * F.least("shared", "c_shared") >= threshold * (F.col("n") + F.col("c_n")))
-            & (F.element_at("keys", together.cast("int")) == F.col("key"))
-            & ((100 + threshold) * common >= threshold * (F.col("n") + F.col("c_n")))
+            & ~met & F.coalesce((100 + threshold) * common >= threshold * (F.col("n") + F.col("c_n")), F.lit(True))
         ).select(
             F.greatest("node", "c").alias("a"), F.when(larger, F.col("mark")).otherwise(F.col("c_mark")).alias("a_mark"),
             F.least("node", "c").alias("b"), F.when(larger, F.col("c_mark")).otherwise(F.col("mark")).alias("b_mark"),
@@ -277,15 +280,20 @@ def near_duplicates(
     )
     # The first 8 bytes of the set's hash as a number, as in set_mark.
     mark = F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("long")
-    members = groups.select("node", mark.alias("mark"), "n", "keys", F.explode("keys").alias("key"))
+    known = groups.withColumn("mark", mark)
+    members = known.select("node", "mark", "n", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     share = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(2**53))
-    buckets = stage(members.join(shared, "key").withColumn("u", share), "buckets")
+    buckets = stage(members.join(shared, "key").withColumn("u", share), "members")
     compared = buckets.select("node").distinct()
     sets = stage(
         shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
     )
-    buckets = stage(buckets.join(shared_classes(sets), ["node", "mark"]), "buckets")
+    uppers = known.select("node", "mark", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("uppers"))
+    buckets = stage(
+        buckets.join(shared_classes(sets), ["node", "mark"]).join(uppers, ["node", "mark"])
+        .withColumn("earlier", F.slice("uppers", F.lit(1), F.col("band"))).drop("uppers", "band"), "buckets",
+    )
     components = _components(buckets, sets, threshold)
     marked = groups.join(components, "node", "left").where("copies > 1 or component is not null").select(
         "set_key", F.coalesce("component", "node").alias("component")
