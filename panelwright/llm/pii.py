@@ -54,29 +54,65 @@ CONTEXT_CHARACTERS = 40
 LABELERS = ("pattern", "gazetteer", "context", "border")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, joined, zero: int = 0) -> Column:
+    """For each entry of an array what the earlier ones come to: sums or maxima of whole numbers.
+
+    Blocks of about the root of the size are run through one by one, so the work grows
+    with the size to the power of 1.5 at most, not with its square.
+    """
+    def through(block: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            block, first, lambda acc, v: F.struct(joined(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        count = F.ceil(F.size(v) / width).cast("int")
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(v, i * w + 1, w)))
+
+    def told(cut: Column) -> Column:
+        totals = F.transform(cut, lambda block: F.aggregate(block, F.lit(zero), joined))
+        starts = through(totals, F.lit(zero))["out"]
+        return F.flatten(F.zip_with(cut, starts, lambda block, start: through(block, start)["out"]))
+
+    empty = F.array().cast("array<int>")
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(blocks(v), told)).otherwise(empty))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points: (start, end, value).
+    """All matches with their places in code points: (start, end, value, before, touches).
 
     The texts between matches come from a split at the same pattern, so the places
-    are running sums of lengths.
+    are running sums of lengths. ``before`` holds the characters between a match and the
+    one before it, the last ``CONTEXT_CHARACTERS`` of them, ``touches`` the characters next to it on both sides.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    placed = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value"))),
-        zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                x["value"].alias("value"),
-            ))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, placed).otherwise(empty)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(s: Column) -> Column:
+        found, gaps = s["found"], s["gaps"]
+        lengths = F.transform(found, lambda m, i: F.length(gaps[i]) + F.length(m))
+
+        def one(starts: Column, m: Column, i: Column) -> Column:
+            start = starts[i] + F.length(gaps[i])
+            earlier = F.when(i > 0, F.right(F.get(found, i - 1), F.lit(1))).otherwise("")
+            later = F.coalesce(F.left(F.get(found, i + 1), F.lit(1)), F.lit(""))
+            side = lambda gap, cut, other: F.when(F.length(gap) > 0, cut(gap, F.lit(1))).otherwise(other)
+            return F.struct(
+                start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"),
+                F.right(gaps[i], F.lit(CONTEXT_CHARACTERS)).alias("before"),
+                F.concat(side(gaps[i], F.right, earlier), side(gaps[i + 1], F.left, later)).alias("touches"),
+            )
+
+        return _let(_before(lengths, lambda a, b: a + b), lambda starts: F.transform(found, lambda m, i: one(starts, m, i)))
+
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,touches:string>>")
+    return _let(both, lambda s: F.when(F.size(s["found"]) > 0, placed(s)).otherwise(empty))
 
 
 def _digits(value: Column) -> Column:
@@ -142,13 +178,7 @@ def candidates(text: Column) -> Column:
     """
     def of(number: int, kind: str) -> Column:
         def judged(m):
-            before = F.lower(F.substring(
-                text, F.greatest(m["start"] - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT_CHARACTERS))
-            ))
-            touches = F.concat(
-                F.substring(text, F.greatest(m["start"], F.lit(1)), F.least(m["start"], F.lit(1))),
-                F.substring(text, m["end"] + 1, F.lit(1)),
-            )
+            before, touches = F.lower(m["before"]), m["touches"]
             clean = ~touches.rlike(r"[0-9A-Za-z@_/]")
             valid = F.coalesce(_valid(kind, m["value"]), F.lit(False))
             return F.struct(
@@ -291,19 +321,34 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    parts = F.aggregate(
-        found, zero,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(
-                F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            ))).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(found) > 0, parts).otherwise(text)
+    """The text with every span replaced by its kind in brackets; overlapping spans become one.
+
+    The text is cut into blocks of spans first and each block into its pieces, so no
+    piece is looked for from the start of a long text.
+    """
+    def pieces(s: Column) -> Column:
+        spans, upto = s["spans"], s["upto"]
+        last = F.greatest(F.element_at(upto, -1), F.element_at(spans, -1)["end"])
+        width = F.ceil(F.sqrt(F.size(spans))).cast("int")
+        count = F.ceil(F.size(spans) / width).cast("int")
+
+        def block(first: Column) -> Column:
+            base = F.get(upto, first)
+            end = F.coalesce(F.get(upto, first + width), last)
+            cut = F.struct(first.alias("first"), base.alias("base"), F.substring(text, base + 1, end - base).alias("text"))
+            return _let(cut, lambda b: F.array_join(F.transform(
+                F.sequence(b["first"], F.least(b["first"] + width, F.size(spans)) - 1), lambda i: _let(
+                    F.struct(F.get(spans, i).alias("span"), F.get(upto, i).alias("upto")),
+                    lambda x: F.when(x["span"]["start"] < x["upto"], F.lit("")).otherwise(F.concat(
+                        F.substring(b["text"], x["upto"] - b["base"] + 1, x["span"]["start"] - x["upto"]),
+                        F.lit("["), F.upper(x["span"]["kind"]), F.lit("]"),
+                    )))), ""))
+
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: block(i * width))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, last + 1, F.length(text)))
+
+    both = F.struct(found.alias("spans"), _before(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("upto"))
+    return F.when(F.size(found) > 0, _let(both, pieces)).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
