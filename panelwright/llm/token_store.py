@@ -26,32 +26,49 @@ MAGIC = b"TOKZSTD1"
 _HEADER = "<8s8s"
 _FOOTER = "<QQ8s"
 _HEADER_BYTES, _FOOTER_BYTES = struct.calcsize(_HEADER), struct.calcsize(_FOOTER)
-#: The dictionary is trained on at most this many documents, this many characters of each.
+#: The dictionary is trained on a piece each of at most this many documents; a piece has at most this many characters.
 SAMPLE_DOCUMENTS = 1000
 SAMPLE_CHARACTERS = 4000
+#: Documents of one file, as nearly as a range of ids allows.
+FILE_DOCUMENTS = 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 END_ID = 0
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample: the first
-    ``SAMPLE_DOCUMENTS`` documents in the order of a hash of their ids. Empty if
-    the table is too small to train on."""
+    """A dictionary from the serialized ids of a bounded sample: a piece of each of the first
+    ``SAMPLE_DOCUMENTS`` documents in the order of a hash of their ids.
+
+    A piece begins at a hashed place of the whole text, so the ends of long texts teach
+    as much as their beginnings. The dictionary has an eighth of the sample's bytes up to
+    ``DICTIONARY_BYTES``. Where the sample is too small or too alike to train on, the
+    sample itself is the dictionary. Only a table without any text has none.
+    """
     # Ids first: texts of a top-k would be gathered from every task.
     chosen = stage(
         docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS), "sample",
     )
-    text = F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")
-    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(text).alias("text"))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARACTERS + 1, F.lit(1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE_CHARACTERS)), spare).cast("int")
+    piece = F.substring(F.col("text"), place + 1, F.lit(SAMPLE_CHARACTERS)).alias("text")
+    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(piece).alias("text"))
     sample = rows.orderBy("doc_id").collect()  # at most SAMPLE_DOCUMENTS rows
     encode = encoder(vocabulary).encode
     end = np.array([end_id], dtype="<u4").tobytes()
-    samples = [encode(row["text"]) + end for row in sample]
-    if len(samples) < 16 or sum(map(len, samples)) < 16 * DICTIONARY_BYTES // 4:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
+    samples = [encode(row["text"]) + end for row in sample if row["text"]]
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    try:
+        return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes() if size >= 512 else _own(samples)
+    except zstandard.ZstdError:
+        return _own(samples)
+
+
+def _own(samples: list[bytes]) -> bytes:
+    """The sample as a dictionary without tables; eight bytes are the least that is one."""
+    data = b"".join(samples)[-DICTIONARY_BYTES:]
+    return data.rjust(8, b"\0") if data else b""
 
 
 def dictionary_hash(dictionary: bytes) -> bytes:
@@ -68,18 +85,20 @@ def write_store(
 ) -> tuple[list[dict], bytes]:
     """Encode all documents in ascending id order into files of ``folder``.
 
-    Texts are dealt by range of id and sorted within the task, then encoded,
-    compressed and written in one pass; a file is one range. Returns the manifest
-    (one entry per file, in order, with the ids of all documents before it) and
-    the dictionary. Null ids come first, equal ids in the order of their texts.
+    Texts are dealt by range of id, those of one id by a hash of the text, and sorted within the task, then encoded,
+    compressed and written in one pass; a file is one range, and their number grows with
+    the documents. Returns the manifest (one entry per file, in order, with the ids of all
+    documents before it) and the dictionary. Null ids come first, equal ids in the order of
+    the hashes of their texts, null texts (which count as empty) before others. An empty table gives no file.
     """
     spark = docs.sparkSession
     ship_package(spark)
     table = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     dictionary = train_dictionary(table, vocabulary, end_id)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = table.repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    mark = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark").asc_nulls_first()]
+    parts = max(1, -(-table.count() // FILE_DOCUMENTS))
+    placed = table.withColumn("mark", mark).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("mark")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
