@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stage
 
 WINDOW = 10
-#: The window hashes are broadcast as a set up to this many distinct windows; beyond it they are joined by a shuffle.
+#: The window hashes are a literal set in the plan up to this many distinct windows. Beyond, they are a table that is
+#: broadcast as a hash set up to so many bytes (``ENTRY_BYTES`` a window), and joined by a shuffle only above that.
 BROADCAST_WINDOWS = 20_000
+BROADCAST_BYTES, ENTRY_BYTES = 256 << 20, 48
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # All ASCII characters but digits and lower-case letters separate words.
@@ -32,6 +34,7 @@ class Windows:
     lengths: list[int]
     hashes: list[int] | None
     first_words: list[str] | None
+    broadcast: bool = True
 
     @property
     def small(self) -> bool:
@@ -43,7 +46,7 @@ def _slice_hash(words: Column, at: Column, length: int) -> Column:
 
 
 def benchmark_windows(
-    benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS,
+    benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES,
     item_column: str = "item_id", text_column: str = "text",
 ) -> Windows:
     """All windows of ``window`` consecutive words of the items; an item of fewer words is one window.
@@ -65,8 +68,9 @@ def benchmark_windows(
         "windows",
     )
     lengths = sorted(r["length"] for r in table.select("length").distinct().collect())  # at most ``window``
-    if table.count() > broadcast_windows:
-        return Windows(table, lengths, None, None)
+    count = table.count()
+    if count > broadcast_windows:
+        return Windows(table, lengths, None, None, count * ENTRY_BYTES <= broadcast_bytes)
     few = table.select("hash", "first").collect()
     return Windows(table, lengths, sorted({r["hash"] for r in few}), sorted({r["first"] for r in few}))
 
@@ -102,7 +106,12 @@ def _candidates(words: Column, windows: Windows) -> Column:
 
 
 def _joined_candidates(keyed: DataFrame, windows: Windows) -> DataFrame:
-    """The same for any number of windows: hashes meet in a shuffle join, then the words at those places are read."""
+    """The same for any number of windows: hashes meet in a join, then the words at those places are read.
+
+    As long as the hashes can be broadcast, the places never leave their task; only what met is grouped by row.
+    """
+    hashes = windows.table.select("hash").distinct()
+    hashes = F.broadcast(hashes) if windows.broadcast else hashes
     def of(length: int) -> Column:
         return F.transform(_places(F.col("words"), length), lambda i: F.struct(
             i.alias("at"), F.lit(length).alias("length"), _slice_hash(F.col("words"), i, length).alias("hash")
@@ -111,7 +120,7 @@ def _joined_candidates(keyed: DataFrame, windows: Windows) -> DataFrame:
     places = F.flatten(F.array(*[of(length) for length in windows.lengths]))
     met = (
         keyed.select("key", F.explode(places).alias("p")).select("key", "p.*")
-        .join(windows.table.select("hash", "length"), ["hash", "length"], "left_semi")
+        .join(hashes, "hash", "left_semi")
         .groupBy("key").agg(F.collect_set(F.struct("at", "length")).alias("met"))
     )
     read = F.transform("met", lambda p: F.struct(
