@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import DEFAULT_SEED, draw
 from ..session import stage
@@ -24,6 +24,8 @@ class Clustering:
     within: float
     rounds: int = 0
     converged: bool = False
+    sizes: np.ndarray | None = None
+    transfers: int = 0
 
 
 def squared_distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
@@ -85,9 +87,59 @@ def _partial_sums(columns: Sequence[str], stacked: np.ndarray, owner: np.ndarray
     return work
 
 
+#: Rows that one scan proposes for a transfer, a run; and the share of a sum of squares that a transfer must take off.
+PROPOSED, WORTHWHILE = 64, 1e-10
+
+
+def _proposals(columns: Sequence[str], runs: Sequence[Clustering], centre: np.ndarray):
+    """Per task and run: the rows whose move to another cluster lowers the sum most."""
+    fixed = [(r.centres, r.sizes, r.within) for r in runs]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, out = batch[list(columns)].to_numpy(dtype=float) - centre, []
+            for i, (centres, sizes, within) in enumerate(fixed):
+                distance = ((x[:, None, :] - centres) ** 2).sum(axis=2)
+                near, rows = distance.argmin(axis=1), np.arange(len(x))
+                own = sizes[near]
+                leave = np.where(own > 1, own / np.maximum(own - 1, 1) * distance[rows, near], 0.0)
+                join = sizes / (sizes + 1) * distance
+                join[rows, near] = np.inf
+                gain = leave - join.min(axis=1)
+                best = np.argsort(-gain, kind="stable")[:PROPOSED]
+                best = best[gain[best] > WORTHWHILE * within]
+                if len(best):
+                    out.append(pd.DataFrame({"run": i, "gain": gain[best], "source": near[best], "x": list(x[best])}))
+            if out:
+                yield pd.concat(out)
+
+    return work
+
+
+def _transfer(data: DataFrame, columns: Sequence[str], runs: Sequence[Clustering], centre: np.ndarray) -> list[Clustering]:
+    """One scan for transfers, then the proposed ones in order of their gain, each only if it
+    still lowers the sum with the centres as the earlier ones left them. Returns the runs that changed."""
+    found = data.mapInPandas(_proposals(columns, runs, centre), "run int, gain double, source int, x array<double>")
+    order = Window.partitionBy("run").orderBy(F.desc("gain"), "x")
+    rows = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROPOSED).orderBy("run", "place").collect()
+    changed = set()
+    for row in rows:  # at most PROPOSED a run
+        run, x, a = runs[row["run"]], np.array(row["x"]), row["source"]
+        distance, n = ((run.centres - x) ** 2).sum(axis=1), run.sizes
+        join = np.where(np.arange(run.k) == a, np.inf, n / (n + 1) * distance)
+        b = int(join.argmin())
+        if n[a] <= 1 or n[a] / (n[a] - 1) * distance[a] - join[b] <= WORTHWHILE * run.within:
+            continue
+        run.centres[a] = run.centres[a] + (run.centres[a] - x) / (n[a] - 1)
+        run.centres[b] = run.centres[b] + (x - run.centres[b]) / (n[b] + 1)
+        n[a], n[b], run.transfers = n[a] - 1, n[b] + 1, run.transfers + 1
+        changed.add(row["run"])
+    return [runs[i] for i in sorted(changed)]
+
+
 def cluster_grid(
     df: DataFrame, row_id: str, columns: Sequence[str], counts: Sequence[int], starts: int = 20,
-    iterations: int = 1000, tolerance: float = 0.0, seed: int = DEFAULT_SEED,
+    iterations: int = 1000, tolerance: float = 0.0, seed: int = DEFAULT_SEED, transfers: bool = True,
 ) -> dict[int, Clustering]:
     """The best of ``starts`` runs for every cluster count.
 
@@ -97,6 +149,11 @@ def cluster_grid(
     no more than the ``tolerance`` share (0: until no centre moves); ``converged``
     is false where ``iterations`` rounds were not enough. Rows with a NULL or NaN
     in one of the columns take no part.
+
+    Where rounds end, single rows may still lower the sum by moving to another cluster,
+    since both centres move with them. With ``transfers`` such rows are moved, and
+    rounds and transfers go on by turns until neither changes a run, so the sum is never above that
+    of the rounds alone.
     """
     p = len(columns)
     df = complete_rows(df.withColumns({c: F.col(c).cast("double") for c in columns}), columns)
@@ -132,12 +189,14 @@ def cluster_grid(
             run.converged = settled or before - run.within <= tolerance * run.within
             if not run.converged:
                 still.append(run)
-            run.centres = new
+            run.centres, run.sizes = new, n[mine]
         moving = still
+        if not moving:
+            moving = _transfer(data, columns, runs, centre) if transfers else []
         if not moving:
             break
     best = {}
     for k in counts:
         found = min((r for r in runs if r.k == k), key=lambda r: r.within)
-        best[k] = Clustering(k, found.start, found.centres + centre, found.within, found.rounds, found.converged)
+        best[k] = replace(found, centres=found.centres + centre)
     return best

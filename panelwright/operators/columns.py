@@ -91,3 +91,18 @@ def index_levels(df: DataFrame, name: str, out: str) -> DataFrame:
     levels = df.select(name).where(F.col(name).isNotNull()).distinct()
     numbered = add_row_id(levels, [name], out).withColumn(out, F.col(out) - 1)
     return df.join(numbered, on=name, how="left")
+
+
+def index_by_appearance(df: DataFrame, name: str, out: str, position: Sequence[str]) -> DataFrame:
+    """Zero-based code of each level in the order in which the levels first appear; NULL stays NULL.
+
+    ``position`` are the columns that tell where a row stands, as ``read_csv`` gives
+    them with ``place``. The least position of each level is found within tasks first;
+    as in ``index_levels``, the level table is then numbered and joined back.
+    """
+    where = F.struct(*[F.col(p) for p in position])
+    first = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(where).alias("_first"))
+    parts = [f"_first_{i}" for i in range(len(position))]
+    flat = first.select(name, *[F.col("_first")[p].alias(part) for p, part in zip(position, parts)])
+    numbered = add_row_id(flat, [*parts, name], out).select(name, (F.col(out) - 1).alias(out))
+    return df.join(numbered, on=name, how="left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.nulls import as_column, if_known
 from ..functions.stats import mean_squared_error, mismatch_rate
@@ -50,11 +50,16 @@ def accuracy_row(df: DataFrame, truth: str, predicted: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(truth) == F.col(predicted), 1)).alias("k"))
         .collect()
     )  # one row per class
-    n, k = sum(r["n"] for r in counts), sum(r["k"] for r in counts)
-    base = max(r["n"] for r in counts) / n
+    return accuracy_of(df.sparkSession, [(r["n"], r["k"]) for r in counts])
+
+
+def accuracy_of(spark: SparkSession, classes: Sequence[tuple[int, int]]) -> DataFrame:
+    """The same from (rows, rows predicted right) of each class."""
+    n, k = sum(c[0] for c in classes), sum(c[1] for c in classes)
+    base = max(c[0] for c in classes) / n
     low, high = exact_interval(k, n)
     row = (n, k / n, low, high, base, binomial_at_least(k, n, base))
-    return df.sparkSession.createDataFrame(
+    return spark.createDataFrame(
         [row], "n long, estimate double, conf_low double, conf_high double, base_rate double, p_value double"
     )
 

@@ -8,9 +8,10 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import cluster
 from ..operators.classify import logistic
-from ..operators.evaluate import MISCLASS, MSE, accuracy_row
+from ..operators.evaluate import MISCLASS, MSE, accuracy_of
 from ..operators.fitting import Candidate, fold_frame
 from ..operators.forests import Forest
+from ..operators.machines import Machine, machine_errors
 from ..operators.reshape import unnest_parallel
 from ..session import stage
 from . import sql_linear, studies
@@ -72,10 +73,8 @@ def q_logit_scores(spark, folder):
 @query("logit_elastic_cv")
 def q_logit_elastic_cv(spark, folder):
     with _classes(spark, folder) as s:
-        frames = []
-        for name, mixing in (("ridge_logistic", 0.0), ("lasso_logistic", 1.0)):
-            found = s.tune(studies.elastic_candidates(s, mixing))
-            frames.append(fold_frame(s.table, found, ["penalty"], "double").withColumn("method", F.lit(name)))
+        found = studies.logistic_errors(s, s.fold_numbers)
+        frames = [fold_frame(s.table, rows, ["penalty"], "double").withColumn("method", F.lit(m)) for m, rows in found.items()]
         return frames[0].unionByName(frames[1])
 
 
@@ -120,30 +119,29 @@ def q_gbt_cv(spark, folder):
 @query("svm_linear")
 def q_svm_linear(spark, folder):
     with _classes(spark, folder) as s:
-        found = s.tune(studies.svm_candidates(s, s.settings.linear_costs))
-        return fold_frame(s.table, found, ["cost"], "double")
+        return fold_frame(s.table, studies.machine_fold_errors(s, ["linear"])["linear"], ["cost"], "double")
 
 
 @query("svm_rbf")
 def q_svm_rbf(spark, folder):
     with _classes(spark, folder) as s:
-        return fold_frame(s.table, studies.radial_svm(s)[0], ["gamma", "cost"], "double double")
+        return fold_frame(s.table, studies.machine_fold_errors(s, ["radial"])["radial"], ["gamma", "cost"], "double double")
 
 
 @query("svm_poly")
 def q_svm_poly(spark, folder):
     with _classes(spark, folder) as s:
-        found = studies.polynomial_svm(s)[0]
-        return fold_frame(s.table, found, ["degree", "cost"], "int double")
+        return fold_frame(s.table, studies.machine_fold_errors(s, ["polynomial"])["polynomial"], ["degree", "cost"], "int double")
 
 
 @query("svm_accuracy")
 def q_svm_accuracy(spark, folder):
     """Accuracy with interval of the linear machine on the hold-out rows."""
     with _classes(spark, folder) as s:
-        (candidate,) = studies.svm_candidates(s, [1.0])
-        model = candidate.build(s.train.count()).fit(s.train)
-        return accuracy_row(model.transform(s.test), s.outcome, "prediction")
+        r = machine_errors(s.table, s.outcome, s.terms, [Machine((1.0,), "linear", 0.0, 1.0)]).first()
+        wrong = r["test_wrong"] - r["positive_wrong"]
+        rows = r["test_rows"] - r["positive_rows"]
+        return accuracy_of(spark, [(r["positive_rows"], r["positive_rows"] - r["positive_wrong"]), (rows, rows - wrong)])
 
 
 @query("refit_best")

@@ -5,22 +5,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.grids import even_grid, log_grid
 from ..functions.hashing import DEFAULT_SEED
 from ..operators import forests, importance, linear
 from ..operators.boosting import Booster, booster_errors
-from ..operators.classify import (
-    elastic_logistic, fourier_map, linear_svm, logistic, polynomial_map, standardised,
-)
+from ..operators.classify import logistic
 from ..operators.evaluate import MISCLASS, MSE, leaderboard
 from ..operators.fitting import (
-    FEATURES, Candidate, assemble, best_candidate, cross_validate, holdout_error, prepare, side_by_side, test_rows,
+    FEATURES, Candidate, assemble, best_candidate, cross_validate, holdout_error, prepare, test_rows,
     train_rows,
 )
 from ..operators.forests import CLASSES, VALUES, Forest, Grower
+from ..operators.logistic_path import Penalised, logistic_paths
+from ..operators.machines import Machine, machine_errors
 from ..operators.moments import total
 from ..operators.resample import permute_columns
 from ..operators.trees import Rule
@@ -50,11 +51,9 @@ class Settings:
     linear_costs: Sequence[float] = tuple(codes.LINEAR_COSTS)
     radial_costs: Sequence[float] = tuple(codes.RADIAL_COSTS)
     gammas: Sequence[float] = tuple(even_grid(*codes.RADIAL_GAMMAS))
-    fourier_size: int = 500
     poly_costs: Sequence[float] = tuple(codes.POLY_COSTS)
     degrees: Sequence[int] = tuple(codes.POLY_DEGREES)
-    svm_iterations: int = 100
-    penalties: Sequence[float] = (0.001, 0.01, 0.1, 1.0)
+    penalties: Sequence[float] = tuple(log_grid(*codes.LASSO_CLASS_GRID))
     permutations: int = 1000
     threads: int = 8
     seed: int = DEFAULT_SEED
@@ -62,8 +61,8 @@ class Settings:
 
 QUICK = Settings(
     folds=3, trees=12, mtry=(1, 4, 8, 12), rates=tuple(log_grid(-4, -0.1, 3)), rounds=4, boost_depth=4,
-    linear_costs=(0.01, 1), radial_costs=(0.1, 10), gammas=(0.1, 2.575), fourier_size=64, poly_costs=(0.1, 10),
-    degrees=(2, 3), svm_iterations=8, penalties=(0.01, 0.1), permutations=20,
+    linear_costs=(0.01, 1), radial_costs=(0.1, 10), gammas=(0.1, 2.575), poly_costs=(0.1, 10),
+    degrees=(2, 3), penalties=(0.01, 0.1), permutations=20,
 )
 
 
@@ -252,49 +251,62 @@ def tuned_boosting(s: Study) -> tuple[float, float]:
     return rate, _boosted(s, [Booster((rate,), rate)])[0][3]
 
 
-def svm_candidates(s: Study, costs: Sequence[float], features: str = FEATURES, standardise: bool = True) -> list[Candidate]:
-    o, g = s.outcome, s.settings
-    return [
-        Candidate((c,), lambda n, c=c: linear_svm(o, c, n, g.svm_iterations, features, standardise)) for c in costs
-    ]
+# Support-vector machines and penalised logistic models: a grid and all its folds in one run.
 
+KERNELS = ("linear", "radial", "polynomial")
 
-def elastic_candidates(s: Study, mixing: float) -> list[Candidate]:
-    return [Candidate((p,), lambda n, p=p: elastic_logistic(s.outcome, p, mixing)) for p in s.settings.penalties]
 
+def _machine(s: Study, kind: str, params: tuple, fold: int | None) -> Machine:
+    parameter = 0.0 if kind == "linear" else float(params[0])
+    return Machine(params, kind, parameter, float(params[-1]), fold)
 
-# Kernel machines: one feature map per kernel parameter, then linear machines.
 
-def _kernel(s: Study, parameters: Sequence, costs: Sequence[float], mapped: Callable) -> tuple[list[tuple], tuple, float]:
-    """Mapped columns are wide, so one kernel parameter is kept in memory at a time."""
-    scaled = standardised(s.table, s.train)
+def machine_params(s: Study, kind: str) -> list[tuple]:
+    """(cost,), (gamma, cost) or (degree, cost) of every cell."""
+    g = s.settings
+    if kind == "linear":
+        return [(c,) for c in g.linear_costs]
+    values, costs = (g.gammas, g.radial_costs) if kind == "radial" else (g.degrees, g.poly_costs)
+    return [(v, c) for v in values for c in costs]
 
-    def table(p) -> DataFrame:
-        return mapped(scaled, p).select("is_train", "fold", s.outcome, "mapped").persist()
 
-    results = []
-    for p in parameters:
-        wide = table(p)
-        found = s.tune(svm_candidates(s, costs, "mapped", False), on=wide)
-        results += [((p, *params), fold, a, b) for params, fold, a, b in found]
-        wide.unpersist()
-    best = best_candidate(results)
-    (winner,) = svm_candidates(s, [best[1]], "mapped", False)
-    wide = table(best[0])
-    e = s.refit(winner, on=wide)
-    wide.unpersist()
-    return results, best, e
+def _fold_rows(models: Sequence, errors: DataFrame) -> list[tuple]:
+    rows = {r["model"]: r for r in errors.collect()}  # one row per model
+    return [(m.params, m.fold, rows[i]["train_error"], rows[i]["test_error"]) for i, m in enumerate(models)]
 
 
-def radial_svm(s: Study):
-    """(fold errors, best (gamma, cost), hold-out error)."""
-    g = s.settings
-    return _kernel(s, g.gammas, g.radial_costs, lambda df, gamma: fourier_map(df, gamma, g.fourier_size, g.seed))
+def machine_fold_errors(s: Study, kinds: Sequence[str]) -> dict[str, list[tuple]]:
+    """(params, fold, training error, test error) of every cell and fold, by kernel."""
+    models = [_machine(s, kind, p, k) for kind in kinds for p in machine_params(s, kind) for k in s.fold_numbers]
+    rows = _fold_rows(models, machine_errors(s.table, s.outcome, s.terms, models))
+    return {kind: [r for r, m in zip(rows, models) if m.kernel == kind] for kind in kinds}
+
+
+def tuned_machines(s: Study, kinds: Sequence[str] = KERNELS) -> dict[str, tuple]:
+    """(best parameters, hold-out error) by kernel; the winners are solved again on all training rows."""
+    best = {kind: best_candidate(rows) for kind, rows in machine_fold_errors(s, kinds).items()}
+    models = [_machine(s, kind, best[kind], None) for kind in kinds]
+    errors = _fold_rows(models, machine_errors(s.table, s.outcome, s.terms, models))
+    return {kind: (best[kind], row[3]) for kind, row in zip(kinds, errors)}
+
+
+MIXINGS = {"ridge_logistic": 0.0, "lasso_logistic": 1.0}
+
 
+def logistic_errors(s: Study, folds: Sequence[int | None]) -> dict[str, list[tuple]]:
+    """((penalty,), fold, training error, test error) of every penalty and fold, by method."""
+    models = [Penalised((p,), p, a, k) for a in MIXINGS.values() for p in s.settings.penalties for k in folds]
+    rows = _fold_rows(models, logistic_paths(s.table, s.outcome, s.terms, models)[1])
+    return {name: [r for r, m in zip(rows, models) if m.mixing == a] for name, a in MIXINGS.items()}
 
-def polynomial_svm(s: Study):
-    """(fold errors, best (degree, cost), hold-out error)."""
-    return _kernel(s, s.settings.degrees, s.settings.poly_costs, polynomial_map)
+
+def tuned_logistic(s: Study) -> dict[str, tuple]:
+    """(best penalty, hold-out error) by method, from one run over all folds and the whole training set."""
+    out = {}
+    for name, rows in logistic_errors(s, [None, *s.fold_numbers]).items():
+        best = best_candidate([r for r in rows if r[1] is not None])
+        out[name] = (best[0], next(r[3] for r in rows if r[1] is None and r[0] == best))
+    return out
 
 
 def penalised_errors(s: Study, ridge: tuple, lasso: tuple) -> dict[str, float]:
@@ -304,37 +316,63 @@ def penalised_errors(s: Study, ridge: tuple, lasso: tuple) -> dict[str, float]:
     return {name: fit.mse(test, s.outcome) for name, fit in fits.items()}
 
 
+# Importances of these forests stand beside the leaderboards.
+CLASS_IMPORTANCE, VALUE_IMPORTANCE = (12, 9), 6
+
+def _board_rows(board: DataFrame) -> DataFrame:
+    return board.select(
+        F.lit("leaderboard").alias("part"), F.col("method").alias("name"), "metric", F.col("test_error").alias("value"),
+        F.col("rank").cast("long").alias("ord"))
+
+
+def _ranked_terms(found: DataFrame, part: str) -> DataFrame:
+    """``found`` (name, metric, value) of one value a term, largest first within a metric."""
+    order = Window.partitionBy("metric").orderBy(F.col("value").desc_nulls_last(), "name")
+    return found.select(F.lit(part).alias("part"), "name", "metric", "value", F.row_number().over(order).cast("long").alias("ord"))
+
+
+def _importance_rows(found: DataFrame, kind: str) -> DataFrame:
+    metric = F.concat(F.lit(f"{kind}_mtry_"), F.col("mtry").cast("string"))
+    return _ranked_terms(found.select(F.col("term").alias("name"), metric.alias("metric"), F.col("importance").alias("value")), "importance")
+
+
 def classification(s: Study) -> DataFrame:
-    """Leaderboard of all classifiers: ``rank, method, metric, test_error, rank_in_metric``.
+    """Leaderboard of all classifiers and the importances beside it: ``part, name, metric, value, ord``.
 
     The linear probability fits carry a squared error, the others an error rate.
     """
-    g = s.settings
-    jobs = {
-        "logistic_model": lambda: s.refit(Candidate((), lambda n: logistic(s.outcome))),
-        "ridge_logistic": lambda: s.tuned(elastic_candidates(s, 0.0))[1],
-        "lasso_logistic": lambda: s.tuned(elastic_candidates(s, 1.0))[1],
-        "svm_linear": lambda: s.tuned(svm_candidates(s, g.linear_costs))[1],
-        "svm_radial": lambda: radial_svm(s)[2],
-        "svm_polynomial": lambda: polynomial_svm(s)[2],
-    }
-    errors = dict(zip(jobs, side_by_side(s.table.sparkSession, list(jobs.values()), g.threads)))
+    errors = {"logistic_model": s.refit(Candidate((), lambda n: logistic(s.outcome)))}
+    errors |= {name: e for name, (_, e) in tuned_logistic(s).items()}
     _, errors["random_forest"], errors["bagged_classification"] = tuned_forest(s)
     errors["boosted_classification"] = tuned_boosting(s)[1]
+    errors |= {f"svm_{kind}": e for kind, (_, e) in tuned_machines(s).items()}
     rows = [(m, MISCLASS, float(e)) for m, e in errors.items()]
     rows += [(m, MSE, float(e)) for m, e in penalised_errors(s, codes.RIDGE_GRID, codes.LASSO_CLASS_GRID).items()]
     results = s.table.sparkSession.createDataFrame(rows, "method string, metric string, test_error double")
-    return leaderboard(results, "test_error", "metric")
+    board = _board_rows(leaderboard(results, "test_error", "metric"))
+    return board.unionByName(_importance_rows(importances(s, CLASS_IMPORTANCE), "gini"))
 
 
 def regression(s: Study) -> DataFrame:
-    """Leaderboard of all regressions with their shares of explained variance."""
+    """Leaderboard of all regressions, shares of explained variance, coefficients and importances:
+    ``part, name, metric, value, ord``."""
     folds, test = linear.split_moments(s.table, s.outcome, s.terms, fold="path_fold")
-    rows = [("ols_model", linear.ols(total(folds), s.outcome, s.terms).mse(test, s.outcome))]
-    fits = linear.penalised_fits(folds, s.outcome, s.terms, codes.RIDGE_GRID, codes.LASSO_GRID)
-    rows += [(m, fits[m].mse(test, s.outcome)) for m in ("ridge_min", "lasso_min")]
+    fits = {"ols_model": linear.ols(total(folds), s.outcome, s.terms)}
+    found = linear.penalised_fits(folds, s.outcome, s.terms, codes.RIDGE_GRID, codes.LASSO_GRID)
+    fits |= {m: found[m] for m in ("ridge_min", "lasso_min")}
+    rows = [(m, MSE, fit.mse(test, s.outcome)) for m, fit in fits.items()]
     _, forest, bagged = tuned_forest(s, True)
-    rows += [("random_forest", forest), ("bagged_regression", bagged)]
-    results = s.table.sparkSession.createDataFrame([(m, float(e)) for m, e in rows], "method string, test_error double")
+    rows += [("random_forest", MSE, forest), ("bagged_regression", MSE, bagged)]
+    spark = s.table.sparkSession
+    results = spark.createDataFrame([(m, k, float(e)) for m, k, e in rows], "method string, metric string, test_error double")
+    board = _board_rows(leaderboard(results, "test_error"))
     variance = float(test.cross[0, 0] / (test.n - 1))
-    return linear.explained(leaderboard(results, "test_error"), "test_error", variance)
+    shares = linear.explained(results.select(F.col("method").alias("name"), "test_error"), "test_error", variance)
+    shares = _ranked_terms(shares.select("name", F.lit("prop_var_explained").alias("metric"), F.col("prop_var_explained").alias("value")), "explained")
+    weights = spark.createDataFrame(
+        [(t, m, float(v)) for m, fit in fits.items() for t, v in zip(["(Intercept)", *fit.terms], [fit.intercept, *fit.coef])],
+        "name string, metric string, value double")
+    plain = _importance_rows(importances(s, [VALUE_IMPORTANCE], True), "variance")
+    fair = corrected_importances(s, VALUE_IMPORTANCE).withColumn("mtry", F.lit(VALUE_IMPORTANCE))
+    parts = [board, shares, _ranked_terms(weights, "coefficient"), plain, _importance_rows(fair, "corrected")]
+    return reduce(DataFrame.unionByName, parts)

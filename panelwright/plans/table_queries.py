@@ -142,6 +142,19 @@ def q_index_levels(spark, folder):
     return columns.index_levels(table, "segment", "segment_index").drop("location", "segment")
 
 
+@query("levels_by_appearance", """
+SELECT entity_id,
+       CASE WHEN location IS NOT NULL THEN dense_rank() OVER (ORDER BY first_location NULLS LAST) - 1 END AS location_index,
+       CASE WHEN segment IS NOT NULL THEN dense_rank() OVER (ORDER BY first_segment NULLS LAST) - 1 END AS segment_index
+FROM (SELECT entity_id, location, segment, min(entity_id) OVER (PARTITION BY location) AS first_location,
+             CASE WHEN segment IS NOT NULL THEN min(entity_id) OVER (PARTITION BY segment) END AS first_segment FROM entity) t""")
+def q_levels_by_appearance(spark, folder):
+    """Levels coded in the order in which the entities bring them up."""
+    table = entity(spark, folder).select("entity_id", "location", "segment")
+    table = columns.index_by_appearance(table, "location", "location_index", ["entity_id"])
+    return columns.index_by_appearance(table, "segment", "segment_index", ["entity_id"]).drop("location", "segment")
+
+
 @query("one_hot", """
 SELECT entity_id, wealth,
        CASE WHEN segment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS "segment_AUTOMOBILE",

@@ -15,7 +15,7 @@ from panelwright.operators.classify import (
 from panelwright.operators.fitting import Candidate, assemble, cross_validate, holdout_error, prepare
 from panelwright.operators.forests import Forest
 from panelwright.plans import studies
-from panelwright.plans.studies import QUICK, Study, radial_svm
+from panelwright.plans.studies import QUICK, Study
 
 
 @pytest.fixture(scope="module")
@@ -138,12 +138,33 @@ def test_cluster_grid_against_lloyd(spark):
     assert all(len({r.cluster for r in labels[60 * i: 60 * i + 60]}) == 1 for i in range(4))
 
 
+def test_transfers_never_end_above_rounds_alone(spark):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(70, 3)) * [1, 2, 5]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], "k long, a double, b double, c double").cache()
+    plain = cluster.cluster_grid(df, "k", ["a", "b", "c"], [3, 6], starts=3, transfers=False)
+    moved = cluster.cluster_grid(df, "k", ["a", "b", "c"], [3, 6], starts=3)
+    for k in (3, 6):
+        assert moved[k].within <= plain[k].within + 1e-9
+        centres = moved[k].centres
+        distance = ((points[:, None, :] - centres) ** 2).sum(axis=2)
+        near = distance.argmin(axis=1)
+        assert np.isclose(distance.min(axis=1).sum(), moved[k].within)
+        assert np.allclose(centres, [points[near == j].mean(axis=0) for j in range(k)])
+        sizes = np.bincount(near, minlength=k)
+        for i, a in enumerate(near):  # no single row can move
+            leave = sizes[a] / max(sizes[a] - 1, 1) * distance[i, a] if sizes[a] > 1 else 0.0
+            assert all(leave <= sizes[b] / (sizes[b] + 1) * distance[i, b] + 1e-7 for b in range(k) if b != a)
+    assert any(moved[k].transfers for k in (3, 6))
+
+
 def test_study_of_a_ring(spark, ring):
     settings = QUICK
     with Study.of(ring, "k", "y", ["x1", "x2"], settings) as s:
-        found, best, error = radial_svm(s)
+        found = studies.machine_fold_errors(s, ["radial"])["radial"]
+        best = studies.tuned_machines(s)
     assert len(found) == 3 * len(settings.gammas) * len(settings.radial_costs)
-    assert error < 0.2
+    assert best["radial"][1] < 0.05 and best["polynomial"][1] < 0.05 and best["linear"][1] > 0.3
 
 
 def test_exponents_follow_the_expansion(spark):
@@ -182,4 +203,4 @@ def test_registered_queries_run_the_whole_study(monkeypatch, name):
     s = asked.value.args[0]
     assert (s.folds, list(s.mtry), s.trees, s.depth, len(s.rates), s.rounds) == (10, list(range(1, 13)), 500, None, 20, 500)
     assert (len(s.linear_costs), len(s.gammas) * len(s.radial_costs), len(s.degrees) * len(s.poly_costs)) == (5, 45, 24)
-    assert (s.svm_iterations, s.fourier_size, s.permutations, len(s.penalties)) == (100, 500, 1000, 4)
+    assert (s.permutations, len(s.penalties)) == (1000, 200)

@@ -41,3 +41,22 @@ def test_csv_quotes_and_line_breaks(spark, tmp_path):
     assert sorted((r.n, r.name) for r in read_csv(spark, out).collect()) == sorted((n, v) for v, n in rows)
     raw = "".join(p.read_text() for p in (tmp_path / "again").glob("part-*"))
     assert '"a ""b"", c"' in raw
+
+
+def test_levels_in_order_of_appearance(spark, tmp_path):
+    """The order in the file counts, however the file is cut."""
+    from panelwright.operators.columns import index_by_appearance
+    from panelwright.sources.csv import PLACE, read_csv
+
+    levels = ["pear", "fig", "apple", "fig", "NA", "plum", "pear", "date"] * 40
+    (tmp_path / "f.csv").write_text("name,n\n" + "".join(f"{v},{i}\n" for i, v in enumerate(levels)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = read_csv(spark, str(tmp_path / "f.csv"), place=True)
+        assert df.rdd.getNumPartitions() > 4
+        got = {r.n: r.code for r in index_by_appearance(df.repartition(5, "n"), "name", "code", PLACE).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    order = ["pear", "fig", "apple", "plum", "date"]
+    assert got == {i: None if v == "NA" else order.index(v) for i, v in enumerate(levels)}
