@@ -26,12 +26,12 @@ OUTCOMES = ["action_flag", "unanimous_flag"]
 REGRESSION_TERMS = [c for c in PREDICTORS if c != "total_measure"]
 
 
-def _classes(spark, folder, outcome="action_flag", settings=FULL, others=()):
-    return Study.of(model_data(spark, folder), "entity_id", outcome, PREDICTORS, settings, others)
+def _classes(spark, folder, outcome="action_flag", others=()):
+    return Study.of(model_data(spark, folder), "entity_id", outcome, PREDICTORS, FULL, others)
 
 
-def _values(spark, folder, flag="action_flag", settings=FULL, others=()):
-    return Study.of(model_data(spark, folder), "entity_id", "total_measure", [flag, *REGRESSION_TERMS], settings, others)
+def _values(spark, folder, flag="action_flag", others=()):
+    return Study.of(model_data(spark, folder), "entity_id", "total_measure", [flag, *REGRESSION_TERMS], FULL, others)
 
 
 @query("design_matrix", " UNION ALL ".join(

@@ -3,7 +3,7 @@ training rows at its own best setting, and ranked by its hold-out error."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +16,7 @@ from ..operators.boosting import Booster, booster_errors
 from ..operators.classify import logistic
 from ..operators.evaluate import MISCLASS, MSE, leaderboard
 from ..operators.fitting import (
-    FEATURES, Candidate, assemble, best_candidate, cross_validate, holdout_error, prepare, test_rows,
+    FEATURES, Candidate, assemble, best_candidate, holdout_error, prepare, test_rows,
     train_rows,
 )
 from ..operators.forests import CLASSES, VALUES, Forest, Grower
@@ -112,23 +112,12 @@ class Study:
     def fold_numbers(self) -> list[int]:
         return list(range(self.settings.folds))
 
-    def tune(self, candidates: Sequence[Candidate], metric: str = MISCLASS, on: DataFrame | None = None) -> list[tuple]:
-        source = self.train if on is None else train_rows(on)
-        return cross_validate(source, candidates, self.outcome, self.fold_numbers, metric, self.settings.threads)
-
     def refit(self, candidate: Candidate, metric: str = MISCLASS, on: DataFrame | None = None) -> float:
         """Hold-out error of a candidate fitted to all training rows."""
         table = self.table if on is None else on
         train = train_rows(table)
         return holdout_error(candidate.build(train.count()).fit(train), test_rows(table), self.outcome, metric)
 
-    def tuned(self, candidates: Sequence[Candidate], metric: str = MISCLASS, on: DataFrame | None = None):
-        """(best parameters, hold-out error)."""
-        best = candidates[0].params
-        if len(candidates) > 1:
-            best = best_candidate(self.tune(candidates, metric, on))
-        return best, self.refit(next(c for c in candidates if c.params == best), metric, on)
-
 
 # Forests: all models of a study grow together ---------------------------------
 
