@@ -7,11 +7,10 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from panelwright.llm import host_rules, pivots, queries, whitening
 
-from .test_edges import EXAMPLES, ROWS, docs, empty, table  # noqa: F401
+from .test_edges import EXAMPLES, docs, empty  # noqa: F401
 
 VECTORS = "vec_id long, embedding array<double>, label string, x int, n long, code string, error long, component int, _label string"
 
