@@ -204,3 +204,39 @@ def test_registered_queries_run_the_whole_study(monkeypatch, name):
     assert (s.folds, list(s.mtry), s.trees, s.depth, len(s.rates), s.rounds) == (10, list(range(1, 13)), 500, None, 20, 500)
     assert (len(s.linear_costs), len(s.gammas) * len(s.radial_costs), len(s.degrees) * len(s.poly_costs)) == (5, 45, 24)
     assert (s.permutations, len(s.penalties)) == (1000, 200)
+
+
+BOARD = {
+    "logistic_model", "ridge_logistic", "lasso_logistic", "random_forest", "bagged_classification", "boosted_classification",
+    "svm_linear", "svm_radial", "svm_polynomial", "ridge_min", "ridge_1se", "lasso_min", "lasso_1se",
+}
+
+
+def test_study_queries_end_to_end(spark, small, monkeypatch):
+    """The whole chain of the dearest queries on the smallest tables, with smaller grids."""
+    import __spark_entry__ as entry
+    from panelwright.plans import model_queries
+
+    monkeypatch.setattr(model_queries, "FULL", QUICK)
+    queries = entry.queries()
+    rows = queries["bench_classification"](spark, small).collect()
+    for outcome in ("action_flag", "unanimous_flag"):
+        mine = [r for r in rows if r.outcome == outcome]
+        board = sorted((r.ord, r.name, r.value) for r in mine if r.part == "leaderboard")
+        assert {n for _, n, _ in board} == BOARD and [v for *_, v in board] == sorted(v for *_, v in board)
+        assert all(0 <= r.value <= 1 for r in mine if r.metric == "misclass")
+        assert sum(r.part == "importance" for r in mine) == 24
+    rows = queries["bench_regression"](spark, small).collect()
+    for flag in ("action_flag", "unanimous_flag"):
+        mine = [r for r in rows if r.predictor == flag]
+        error = {r.name: r.value for r in mine if r.part == "leaderboard"}
+        share = {r.name: r.value for r in mine if r.part == "explained"}
+        assert set(error) == {"ols_model", "ridge_min", "lasso_min", "random_forest", "bagged_regression"}
+        ratio = {m: error[m] / (1 - share[m]) for m in error}
+        assert np.allclose(list(ratio.values()), ratio["ols_model"])
+        assert sum(r.part == "importance" for r in mine) == 24 and sum(r.part == "coefficient" for r in mine) == 39
+    (best,) = queries["refit_best"](spark, small).collect()
+    grid = {r.mtry: r.test_error for r in queries["rf_class_cv"](spark, small).collect()}
+    assert grid[best.mtry] == min(grid.values())
+    p = [r.p_value for r in queries["altmann_pvalues"](spark, small).collect()]
+    assert len(p) == 12 and p == sorted(p) and min(p) >= 1 / 21
