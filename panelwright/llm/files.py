@@ -47,6 +47,26 @@ def open_random(uri: str):
     return store.open_input_file(path)
 
 
+#: Bytes of rows that a task gives to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run in here hands rows to Python in Arrow batches of about ``size`` bytes; a larger row goes alone.
+
+    Spark's own bound is 64 MB, of which the executor and each of its workers hold
+    a few at a time, beside the heap. The session's setting is put back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _shipped: set[str] = set()
 
 

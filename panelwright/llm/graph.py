@@ -8,13 +8,16 @@ from ..session import stage
 
 
 def star_step(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (a, b) with a > b; what was connected stays connected."""
+    """One large-star and one small-star step on edges (a, b) with a > b; what was connected stays connected.
+
+    The large star has at most a row an edge, so only the result is made distinct.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("n")).union(edges.select("b", "a"))
     least = both.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("n > u").join(least, "u").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.where("n > u").join(least, "u").select(F.col("n").alias("a"), F.col("m").alias("b"))
     small = large.groupBy("a").agg(F.min("b").alias("m"))
-    hooked = large.join(small, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.select("a", F.col("m").alias("b")).union(hooked).distinct()
+    hooked = large.join(small, "a").select("m", F.explode(F.array("a", "b")).alias("a"))
+    return hooked.where("a != m").select("a", F.col("m").alias("b")).distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -27,11 +30,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     executor costs one round. A node with many links is a hot join key, which the
     adaptive skew join splits.
     """
-    edges = stage(
+    return star_components(stage(
         links.where("a != b and a is not null and b is not null")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "links",
-    )
+    ))
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """The same for written, distinct edges (a, b) with a > b, as ``star_step`` gives them."""
     mark = None
     while True:
         found = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

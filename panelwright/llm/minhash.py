@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .files import ship_package
-from .graph import connected_components, star_step
+from .files import ship_package, small_batches
+from .graph import star_components, star_step
 
 SHINGLE_WORDS = 5
 #: 32 bands of 6 miss fewer than one in 10,000 of the pairs at THRESHOLD.
@@ -21,8 +21,8 @@ BANDS, ROWS = 32, 6
 THRESHOLD = 80
 #: Centres a bucket tries in the first round; with each round there are so many times as many.
 FIRST_CENTRES, MORE_CENTRES = 2, 8
-#: Distinct words whose hashes a worker remembers.
-REMEMBERED_WORDS = 1_000_000
+#: Bytes of the words, and of what goes with each, that a worker remembers.
+REMEMBERED_BYTES, ENTRY_BYTES = 16 << 20, 180
 #: Classes of shingles by hash, for the bound of an intersection (a power of 2).
 CLASSES = 64
 #: Members of a bucket that meet its centres in one group.
@@ -44,9 +44,15 @@ _WEIGHTS = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 class _WordHashes(dict):
+    """The 64-bit hash of each word seen."""
+
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
+        self.size += len(word) + ENTRY_BYTES
+        if self.size > REMEMBERED_BYTES:
             self.clear()
+            self.size = len(word) + ENTRY_BYTES
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
@@ -248,7 +254,7 @@ def _components(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFram
         split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         now, done = stage(left.join(split.select("key"), "key", "left_semi"), "buckets"), reach
         if now.isEmpty():
-            return connected_components(edges)
+            return star_components(edges)
 
 
 def near_duplicates(
@@ -270,7 +276,8 @@ def near_duplicates(
     spark = docs.sparkSession
     ship_package(spark)
     table = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    sketched = stage(sketches(table, bands, rows, words), "sketches")
+    with small_batches(spark):
+        sketched = stage(sketches(table, bands, rows, words), "sketches")
     groups = stage(
         sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
             F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"),
@@ -286,9 +293,10 @@ def near_duplicates(
     share = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(2**53))
     buckets = stage(members.join(shared, "key").withColumn("u", share), "members")
     compared = buckets.select("node").distinct()
-    sets = stage(
-        shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
-    )
+    with small_batches(spark):
+        sets = stage(
+            shingle_sets(table.join(compared, table["doc_id"] == compared["node"], "left_semi"), words), "sets"
+        )
     uppers = known.select("node", "mark", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("uppers"))
     buckets = stage(
         buckets.join(shared_classes(sets), ["node", "mark"]).join(uppers, ["node", "mark"])
