@@ -5,7 +5,7 @@ import itertools
 import pyarrow as pa
 import pytest
 
-from panelwright.llm import graph, minhash
+from panelwright.llm import graph, minhash, quality
 from panelwright.llm.files import BATCH_BYTES, small_batches
 
 from .test_edges import table
@@ -35,6 +35,19 @@ def test_batches_are_small_while_texts_are_read(spark, monkeypatch):
     assert seen["sketches"] == seen["sets"] == str(BATCH_BYTES) and seen["pairs"] == spark.conf.get(BOUND) == before
 
 
+def test_batches_are_small_while_documents_are_scored(spark, monkeypatch):
+    before, seen = spark.conf.get(BOUND), {}
+
+    def noted(df, label="staged", real=quality.stage):
+        seen[label] = spark.conf.get(BOUND)
+        return real(df, label)
+
+    monkeypatch.setattr(quality, "stage", noted)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.keep_selected(table(spark, [(1, "one text"), (2, None)]), labels).count() == 2
+    assert seen["scores"] == str(BATCH_BYTES) and spark.conf.get(BOUND) == before
+
+
 def test_small_batches(spark):
     def sizes(batches):
         for batch in batches:
