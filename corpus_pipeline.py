@@ -13,6 +13,10 @@ from panelwright.llm.tokens import tokenizer_path
 from panelwright.session import stage
 
 
+#: Bytes of pieces of text that a worker of the last stage remembers. Executors carry four stages' heap by then.
+PIECES_BYTES = 64 << 20
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +43,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs, tokenizer_path(), remembered_bytes=PIECES_BYTES).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 from .files import ship_package, small_batches
 from .graph import star_components, star_step
+from .memory import keeps, with_tables_of
 
 SHINGLE_WORDS = 5
 #: 32 bands of 6 miss fewer than one in 10,000 of the pairs at THRESHOLD.
@@ -62,6 +63,9 @@ def word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
+keeps("minhash", word_hashes.cache_clear)
+
+
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes.
 
@@ -132,7 +136,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
                  pa.array(keys, pa.list_(pa.int64()))], schema=_SKETCHED,
             )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return docs.mapInArrow(with_tables_of("minhash", work), "doc_id long, n_shingles long, set_key binary, keys array<long>")
 
 
 def set_mark(set_key: bytes) -> int:
@@ -160,7 +164,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                           schema.field(3).type)], schema=schema,
             )
 
-    return docs.mapInArrow(work, "node long, mark long, shingles array<long>, totals array<int>")
+    return docs.mapInArrow(with_tables_of("minhash", work), "node long, mark long, shingles array<long>, totals array<int>")
 
 
 def shared_classes(sets: DataFrame) -> DataFrame:

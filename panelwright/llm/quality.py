@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..operators.order import add_row_id
 from ..session import stage
 from .files import ship_package, small_batches
+from .memory import keeps, with_tables_of
 from .minhash import _mix
 
 #: Buckets of hashed word, word pair and form pair n-grams.
@@ -61,6 +62,9 @@ def _words() -> _Words:
     return _Words()
 
 
+keeps("quality", _words.cache_clear)
+
+
 def ngrams(text: str | None) -> np.ndarray:
     """Bucket numbers of the n-grams of a text: words, pairs of words, pairs of forms.
 
@@ -141,9 +145,9 @@ def count_ngrams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
         met = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_pydict({"bucket": met, "target": counts[0][met], "raw": counts[1][met]})
 
-    rows = marked.select("text", "good").mapInArrow(work, "bucket long, target long, raw long").groupBy("bucket").agg(
-        F.sum("target").alias("target"), F.sum("raw").alias("raw")
-    ).collect()
+    rows = marked.select("text", "good").mapInArrow(
+        with_tables_of("quality", work), "bucket long, target long, raw long"
+    ).groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     for row in rows:
         out[:, row["bucket"]] = row["target"], row["raw"]
@@ -182,7 +186,7 @@ def scores(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE
     if whole:
         given = docs.withColumn(names[0], docs["doc_id"].cast("long"))
     fields = [*(docs.schema.fields if whole else []), *(T.StructField(prefix + n, T._parse_datatype_string(t)) for n, t in SCORES)]
-    return given.mapInArrow(work, T.StructType(fields))
+    return given.mapInArrow(with_tables_of("quality", work), T.StructType(fields))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:

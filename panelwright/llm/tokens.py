@@ -10,9 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 
+from .memory import keeps
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces a worker remembers, about 200 bytes each, before it starts afresh.
-CACHE_PIECES = 1_000_000
+#: Bytes of the pieces and their ids, and of what goes with each, that a worker remembers before it starts afresh.
+REMEMBERED_BYTES, ENTRY_BYTES = 192 << 20, 150
 #: Longest piece that is remembered; longer ones seldom repeat.
 _REMEMBERED = 64
 # Characters that are certainly no white space to any version of Unicode are "solid".
@@ -37,14 +39,19 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 class _Pieces(dict):
     """Ids of pieces seen so far, each with ``lead`` before it; an unknown one is encoded when asked for."""
 
+    size = 0
+
     def __init__(self, lead: str, encode, limit: int):
         self._lead, self._encode, self._limit = lead, encode, limit
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._encode(self._lead + piece)
         if len(piece) <= _REMEMBERED:
-            if len(self) >= self._limit:
+            held = len(piece) + len(ids) + ENTRY_BYTES
+            self.size += held
+            if self.size > self._limit:
                 self.clear()
+                self.size = held
             self[piece] = ids
         return ids
 
@@ -59,7 +66,7 @@ class Encoder:
     pieces are found in the worker's table.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, remembered_bytes: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -76,8 +83,8 @@ class Encoder:
         # A piece with one of these goes to the library as it is.
         self._special = [t["content"] for t in added]
         self._letters = _byte_letters()
-        self._first = _Pieces("", self._piece, cache_pieces // 8)
-        self._after_space = _Pieces(" ", self._piece, cache_pieces)
+        self._first = _Pieces("", self._piece, remembered_bytes // 8)
+        self._after_space = _Pieces(" ", self._piece, remembered_bytes - remembered_bytes // 8)
 
     def _library(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -133,6 +140,9 @@ def _byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(path)
+def encoder(path: str, remembered_bytes: int = REMEMBERED_BYTES) -> Encoder:
+    """One encoder per worker process, vocabulary and bound."""
+    return Encoder(path, remembered_bytes)
+
+
+keeps("tokens", encoder.cache_clear)

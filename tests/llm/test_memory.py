@@ -1,12 +1,15 @@
 """What tasks and workers hold at once is bounded by bytes."""
 
 import itertools
+import weakref
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from panelwright.llm import graph, minhash, quality
-from panelwright.llm.files import BATCH_BYTES, small_batches
+import corpus_pipeline
+from panelwright.llm import graph, memory, minhash, packing, quality, tokens
+from panelwright.llm.files import BATCH_BYTES, ship_package, small_batches
 
 from .test_edges import table
 
@@ -70,3 +73,53 @@ def test_star_step_keeps_what_is_connected(spark):
     assert len(step) == len(set(step)) <= len(links) and all(r.a > r.b for r in step)
     found = {r.node: r.component for r in graph.connected_components(edges.union(edges)).collect()}
     assert found == {i: 3 for i in range(3, 12)} | {i: 29 for i in range(29, 39)}
+
+
+def test_remembered_pieces_are_bounded_by_bytes():
+    """Both tables of an encoder stay below the bound, and what is forgotten is encoded alike again."""
+    words = [f"{i}" * 8 for i in range(3000)]
+    texts = [" ".join(words), " ".join(reversed(words)), "\n".join(words)]
+    small, large = tokens.Encoder(tokens.tokenizer_path(), 80_000), tokens.Encoder(tokens.tokenizer_path())
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    kept = [*small._first.items(), *small._after_space.items()]
+    assert 0 < sum(len(piece) + len(ids) + tokens.ENTRY_BYTES for piece, ids in kept) <= 80_000
+
+
+def test_worker_holds_tables_of_one_operator_only(spark):
+    """A worker that packed forgets its pieces when another operator's turn comes, and the reverse."""
+    docs = table(spark, [(i, f"some words of text {i}") for i in range(20)]).repartition(1)
+    vocabulary = tokens.tokenizer_path()
+
+    def held(owner):
+        def work(batches):
+            yield from batches
+            yield pa.RecordBatch.from_arrays([pa.array([f"{tokens.encoder.cache_info().currsize} {minhash.word_hashes.cache_info().currsize}"])], ["held"])
+
+        rows = docs.limit(0).selectExpr("cast(doc_id as string) as held").mapInArrow(memory.with_tables_of(owner, work), "held string")
+        return {r.held for r in rows.collect()}
+
+    ship_package(spark)
+    assert packing.pack(docs, vocabulary).count() == 20
+    assert held("minhash") <= {"0 0", "0 1"}
+    with small_batches(spark):
+        assert minhash.sketches(docs.select("doc_id", "text")).count() == 20
+    assert held("tokens") <= {"0 0", "1 0"}
+
+
+def test_forgetting_frees_the_encoder():
+    gone = weakref.ref(tokens.encoder(tokens.tokenizer_path(), 1 << 20))
+    minhash.word_hashes.cache_clear()
+    minhash.shingles("some words")
+    memory.keep_only("minhash")
+    assert gone() is None and len(minhash.word_hashes()) == 2
+    memory.keep_only("tokens")
+    assert not minhash.word_hashes()
+
+
+def test_pipeline_packs_with_fewer_remembered_pieces(spark):
+    """The bound of the last stage changes no piece."""
+    docs = table(spark, [(1, "one text"), (2, None), (3, "one more text " * 700)])
+    plain = packing.pack(docs, tokens.tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
+    found = corpus_pipeline.packed(spark, docs, "")
+    assert found.schema == plain.schema and sorted(found.collect()) == sorted(plain.collect())
+    assert corpus_pipeline.PIECES_BYTES < tokens.REMEMBERED_BYTES
