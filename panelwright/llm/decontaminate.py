@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
+from .groups import written_keys
 
 WINDOW = 10
 #: The window hashes are a literal set in the plan up to this many distinct windows. Beyond, they are a table that is
@@ -204,9 +205,12 @@ def contamination(
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """The documents without those that hold a window of the benchmark; all columns stay as they are."""
+    """The documents without those that hold a window of the benchmark; all columns stay as they are.
+
+    Texts stay in their tasks as long as the keys of the rows that go can be broadcast.
+    """
     windows = benchmark_windows(benchmark, window, broadcast_windows)
     # Staged before any filter: a filter would be moved below the words and split every text anew for each of them.
     found = stage(find_hits(docs, windows).select("key", "hits"), "hits")
-    bad = _verified(found, windows).select(F.col("key").alias("_contaminated_key")).distinct()
-    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_contaminated_key"], "left_anti")
+    bad = written_keys(_verified(found, windows).select(F.unhex("key").alias("_contaminated_key")).distinct(), "contaminated")
+    return docs.join(bad, F.unhex(row_key(docs["doc_id"], docs["text"])) == bad["_contaminated_key"], "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stage
 from .files import ship_package, small_batches
 from .graph import star_components, star_step
+from .groups import written_keys
 from .memory import keeps, with_tables_of
 
 SHINGLE_WORDS = 5
@@ -328,17 +329,18 @@ def _one_row_per_id(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """One document of each group, that with the smallest id; all columns stay as they are.
 
-    Of rows that share an id the first by text stays. Rows with a null id stay.
+    Of rows that share an id the first by text stays. Rows with a null id stay. Texts
+    stay in their tasks as long as the ids that go can be broadcast.
     """
     found = stage(near_duplicates(docs, **settings), "duplicates").where("doc_id is not null")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = written_keys(found.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
         F.col("doc_id").alias("_repeated")
     )
     left = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
     if repeated.isEmpty():
         return left
-    repeated = stage(repeated, "repeated")
+    repeated = written_keys(repeated, "repeated")
     once = left.join(repeated, left["doc_id"] == repeated["_repeated"], "left_anti")
     more = left.join(repeated, left["doc_id"] == repeated["_repeated"], "left_semi")
     return once.union(_one_row_per_id(more))
