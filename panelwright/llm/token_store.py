@@ -101,7 +101,7 @@ def write_store(
     placed = table.withColumn("mark", mark).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("mark")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode_all, end = encoder(vocabulary).encode_all, np.array([end_id], dtype="<u4").tobytes()
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_shared(dictionary)).compress
         offsets, ids, tokens, at, shard = [], [], 0, _HEADER_BYTES, TaskContext.get().partitionId()
         batch = next(batches, None)
@@ -112,8 +112,8 @@ def write_store(
         with new_file(folder, f"{shard:05d}.tok") as (out, uri):
             out.write(struct.pack(_HEADER, MAGIC, dictionary_hash(dictionary)))
             while batch is not None:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    data = encode(text.as_py()) + end
+                for doc_id, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1))):
+                    data = found + end
                     frame = compress(data)
                     out.write(frame)
                     offsets.append(at)
